@@ -29,9 +29,19 @@ PLACES = 1 << 31
 BROADCAST_ROWS = 150_000
 
 
-def _hash2(words: Column, salt: Column | int) -> Column:
+def _hash2(text: Column, salt: Column | int) -> Column:
     """A second, independent hash, chained behind a salt."""
-    return F.xxhash64(F.lit(salt) if isinstance(salt, int) else salt, words)
+    return F.xxhash64(F.lit(salt) if isinstance(salt, int) else salt, text)
+
+
+def line_words(line: Column) -> Column:
+    """The words of a line joined by one space; most lines are that already."""
+    return F.when(line.rlike(r"[\x09-\x0D]|  |^ | $"), F.array_join(split_words(line), " ")).otherwise(line)
+
+
+def n_words(joined: Column) -> Column:
+    """How many words a joined line that isn't empty has."""
+    return F.octet_length(joined) - F.octet_length(F.replace(joined, F.lit(" "), F.lit(""))) + 1
 
 
 def doc_number() -> Column:
@@ -48,13 +58,14 @@ def places(docs: DataFrame) -> DataFrame:
 
 def distinct_lines(docs: DataFrame, fuzzy_words: int) -> DataFrame:
     """h, h2, first (the earliest place) of each distinct line with a word, and its half keys if it is long enough."""
-    n = F.size("words")
+    joined = places(docs).select("at", line_words(F.col("line")).alias("s")).where("s != ''").withColumn("n", n_words(F.col("s")))
     halves = []
-    for base in (n, n - 1):  # the line as the shorter of a pair, and as the longer
-        half = F.floor(base / 2).cast("int")
-        halves += [F.xxhash64(base * 2, F.slice("words", F.lit(1), half)), F.xxhash64(base * 2 + 1, F.slice("words", n - base + half + 1, base - half))]
-    split = places(docs).select("at", split_words(F.col("line")).alias("words")).where(n > 0)
-    keyed = split.select("at", F.xxhash64("words").alias("h"), _hash2(F.col("words"), 1).alias("h2"), *[F.when(n >= fuzzy_words, x).alias(f"half{i}") for i, x in enumerate(halves)])
+    for base in (F.col("n"), F.col("n") - 1):  # the line as the shorter of a pair, and as the longer
+        half = F.shiftright(base, 1)
+        head = F.call_function("substring_index", "s", F.lit(" "), half)
+        tail = F.call_function("substring_index", "s", F.lit(" "), half - base)
+        halves += [F.xxhash64(base * 2, head), F.xxhash64(base * 2 + 1, tail)]
+    keyed = joined.select("at", F.xxhash64("s").alias("h"), _hash2(F.col("s"), 1).alias("h2"), *[F.when(F.col("n") >= fuzzy_words, x).alias(f"half{i}") for i, x in enumerate(halves)])
     return keyed.groupBy("h", "h2").agg(F.min("at").alias("first"), *[F.min(f"half{i}").alias(f"half{i}") for i in range(4)])
 
 
@@ -66,21 +77,21 @@ def candidates(lines: DataFrame) -> DataFrame:
 
 
 def with_words(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """The words of the chosen lines (cheap to count), read where each occurs first."""
-    found = places(docs).join(bounded_broadcast(chosen, BROADCAST_ROWS), F.col("at") == F.col("first")).select("h", "h2", "first", split_words(F.col("line")).alias("words"))
-    return found.where((F.xxhash64("words") == F.col("h")) & (_hash2(F.col("words"), 1) == F.col("h2"))).dropDuplicates(["h", "h2"])
+    """s (the words, joined) of the chosen lines (cheap to count), read where each occurs first."""
+    found = places(docs).join(bounded_broadcast(chosen, BROADCAST_ROWS), F.col("at") == F.col("first")).select("h", "h2", "first", line_words(F.col("line")).alias("s"))
+    return found.where((F.xxhash64("s") == F.col("h")) & (_hash2(F.col("s"), 1) == F.col("h2"))).dropDuplicates(["h", "h2"])
 
 
 def variants(lines: DataFrame) -> DataFrame:
     """h, h2, first, whole, anywhere, k, k2: hashed keys of each line (whole) and of its variants,
     by the deleted place and, once a variant, by any place (anywhere)."""
-    n = F.size("words")
-    placed = lines.select("h", "h2", "first", "words", F.explode(F.sequence(F.lit(0), n)).alias("i"))
-    left = F.concat(F.slice("words", F.lit(1), F.col("i")), F.slice("words", F.col("i") + 2, n))
-    whole = F.col("i") == n
-    # deleting either of two equal neighbours leaves the same words
-    again = F.coalesce(F.get("words", F.col("i")) == F.get("words", F.col("i") - 1), F.lit(False))
-    hashed = placed.select("h", "h2", "first", whole.alias("whole"), F.xxhash64(left).alias("k"), F.when(~whole, _hash2(left, F.col("i"))).alias("by_place"), F.when(~again, _hash2(left, -1)).alias("by_any"))
+    placed = lines.withColumn("n", n_words(F.col("s"))).select("h", "h2", "first", "s", "n", F.explode(F.sequence(F.lit(0), F.col("n"))).alias("i"))
+    head = F.call_function("substring_index", "s", F.lit(" "), F.col("i"))
+    tail = F.call_function("substring_index", "s", F.lit(" "), F.col("i") + 1 - F.col("n"))
+    whole = F.col("i") == F.col("n")
+    left = F.when(whole, F.col("s")).when(F.col("i") == 0, tail).when(F.col("i") == F.col("n") - 1, head).otherwise(F.concat(head, F.lit(" "), tail))
+    hashed = placed.select("h", "h2", "first", "i", whole.alias("whole"), left.alias("left")).select("h", "h2", "first", "whole", F.xxhash64("left").alias("k"), F.when(~F.col("whole"), _hash2(F.col("left"), F.col("i"))).alias("by_place"), _hash2(F.col("left"), -1).alias("by_any"))
+    # deleting either of two equal words in a row gives one variant twice, which does no harm
     keys = F.explode(F.array(F.struct(F.lit(False).alias("anywhere"), F.col("by_place").alias("k2")), F.struct(F.lit(True).alias("anywhere"), F.col("by_any").alias("k2"))))
     return hashed.select("h", "h2", "first", "whole", "k", keys.alias("key")).select("h", "h2", "first", "whole", "k", "key.anywhere", "key.k2").where("k2 is not null")
 
@@ -99,11 +110,11 @@ def within_one_edit(a: Column, b: Column) -> Column:
 def outrun(lines: DataFrame) -> DataFrame:
     """h, h2, first, earlier: lines and the earliest line that one of their keys shows within one edit.
 
-    lines: h, h2, first, words.
+    lines: h, h2, first, s.
     """
     emitted = variants(lines)
-    firsts = emitted.groupBy("k", "k2", "anywhere").agg(F.min("first").alias("any_first"), F.min(F.when(F.col("whole"), F.col("first"))).alias("whole_first"), F.count("*").alias("n"))
-    firsts = shared_table(firsts.where("n > 1 and (not anywhere or whole_first is not null)").drop("n"), "line-variants-shared")
+    firsts = emitted.groupBy("k", "k2", "anywhere").agg(F.min("first").alias("any_first"), F.min(F.when(F.col("whole"), F.col("first"))).alias("whole_first"), F.max("first").alias("last_first"))
+    firsts = shared_table(firsts.where("any_first < last_first and (not anywhere or whole_first is not null)").drop("last_first"), "line-variants-shared")
     joined = emitted.join(bounded_broadcast(firsts, BROADCAST_ROWS), ["k", "k2", "anywhere"])
     # two variants that are equal wherever a word was deleted may be two edits apart
     earlier = F.when(F.col("anywhere") & ~F.col("whole"), F.col("whole_first")).otherwise(F.col("any_first"))
@@ -116,7 +127,7 @@ def kept_places(docs: DataFrame, fuzzy_words: int = FUZZY_WORDS) -> DataFrame:
     near = shared_table(candidates(lines), "lines-sharing-halves")
     worded = shared_table(with_words(docs, near), "lines-worded")
     late = outrun(worded)
-    one, other = worded.select("h", "h2", F.col("words").alias("wa")), worded.select(F.col("first").alias("earlier"), F.col("words").alias("wb"))
+    one, other = worded.select("h", "h2", F.split("s", " ").alias("wa")), worded.select(F.col("first").alias("earlier"), F.split("s", " ").alias("wb"))
     pairs = late.join(one, ["h", "h2"]).join(other, "earlier")
     gone = shared_table(pairs.where(within_one_edit(F.col("wa"), F.col("wb"))).select("h", "h2").distinct(), "lines-gone")
     return lines.join(bounded_broadcast(gone, BROADCAST_ROWS), ["h", "h2"], "left_anti").select(F.col("first").alias("at"))
