@@ -4,7 +4,7 @@ A window of WINDOW words stands under its anchor: the run of GRAM words in it wi
 hash (the first of equals). Equal windows have equal anchors at equal places, so only windows
 whose anchor occurs more than once can repeat. A batch of documents becomes an immutable run of
 the index: its anchors, sorted by hash, each with the stretch of windows that stand under it.
-Runs are merge-joined by hash; anchors met more than once are verified with 128-bit digests of
+Runs are merge-joined by hash; anchors met more than once are verified with 96-bit digests of
 the words themselves; when there are many runs they are compacted into one sorted run.
 """
 
@@ -16,17 +16,21 @@ from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvid.llm.text import text_key
+from corvid.llm.text import bounded_broadcast
 from corvid.session import new_table_path, shared_table
 
 WINDOW = 35
 #: Words of an anchor; any value up to the window's gives the same results.
-GRAM = 12
+GRAM = 7
 #: Runs that are merged into one when there are more.
 FAN_IN = 4
+#: Words of eight bytes up to which the spans to remove are broadcast.
+BROADCAST_WORDS = 2_000_000
+#: Rows (of eight bytes) up to which the keys of texts to look into are broadcast.
+BROADCAST_ROWS = 1_000_000
 _SLICE_BYTES = 1 << 22
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -116,27 +120,31 @@ def _batched(texts: list[bytes]) -> Iterator[tuple[int, int]]:
         at = to
 
 
+def row_key() -> Column:
+    """64 bits that stand for a row: its doc_id and text. Repeated rows share it, and all results."""
+    return F.xxhash64("doc_id", "text")
+
+
 def run_of(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """h, stretch, doc_id, key, place (word of the anchor, windows before and after it) for each anchor."""
+    """h, stretch, row, place (first window, windows before and after the anchor) for each anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [(t.as_py() or "").encode("utf-8", "surrogatepass") for t in batch.column(2)]
+            texts = [(t.as_py() or "").encode("utf-8", "surrogatepass") for t in batch.column(1)]
             for a, b in _batched(texts):
                 joined = b"\n".join(texts[a:b])
                 data = np.frombuffer(joined, np.uint8)
                 breaks = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts[a : b - 1]], dtype=np.int64)])
                 h, stretch, anchor, first, last = anchors(data, window, gram, breaks)
+                if not len(h):
+                    continue
                 starts, _ = word_bounds(data)
-                text = np.searchsorted(breaks, starts[anchor], "right") - 1 if len(anchor) else np.zeros(0, np.int64)
+                text = np.searchsorted(breaks, starts[anchor], "right") - 1
                 begin = np.searchsorted(starts, breaks)  # the first word of each text
-                local = first - begin[text] if len(anchor) else first
-                packed = local << 16 | (anchor - first) << 8 | (last - first)
-                rows = pa.array(text + a)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(stretch.view(np.int64)), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(packed)], ["h", "stretch", "doc_id", "key", "place"])
+                packed = (first - begin[text]) << 16 | (anchor - first) << 8 | (last - first)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(stretch.view(np.int64)), batch.column(0).take(pa.array(text + a)), pa.array(packed)], ["h", "stretch", "row", "place"])
 
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", text_key(F.col("text")).alias("key"), "text").mapInArrow(run, f"h long, stretch long, doc_id {id_type}, key long, place long")
+    return docs.select(row_key().alias("row"), "text").mapInArrow(run, "h long, stretch long, row long, place long")
 
 
 class FingerprintIndex:
@@ -160,58 +168,71 @@ class FingerprintIndex:
 
     def compact(self) -> None:
         """Merge all runs into one sorted run; the old ones stay as they are for readers that hold them."""
-        merged = self.rows().repartition("h", F.pmod(F.xxhash64("doc_id", "key"), F.lit(16))).sortWithinPartitions("h")
+        merged = self.rows().repartition("h", F.pmod("row", F.lit(16))).sortWithinPartitions("h")
         self.runs = [self._write(merged)]
 
     def rows(self) -> DataFrame:
         return reduce(DataFrame.unionByName, [self.spark.read.parquet(p) for p in self.runs])
 
     def repeated(self) -> DataFrame:
-        """doc_id, key, place, mixed for all anchors that occur twice or more over all runs; mixed:
-        not all of them have the same stretch around them."""
-        met = self.rows().groupBy("h").agg(F.count("*").alias("n"), F.min("stretch").alias("a"), F.max("stretch").alias("b"))
-        met = met.where("n > 1").select("h", (F.col("a") != F.col("b")).alias("mixed"))
-        return self.rows().join(met.hint("merge"), "h").select("doc_id", "key", "place", "mixed")
+        """row, place, whole, parts for all anchors that occur twice or more over all runs.
+
+        whole: the stretch of windows around the anchor occurs elsewhere too, so all of its windows
+        do. parts: the anchor also stands in other stretches, with which single windows may be
+        shared; of anchors with the same stretch, one is enough to tell.
+        """
+        twice = self.rows().groupBy("h").count().where("count > 1").select("h")
+        met = shared_table(self.rows().join(twice.hint("merge"), "h", "left_semi"), "fingerprints-met")
+        me = F.xxhash64("row", "place")
+        classes = met.groupBy("h", "stretch").agg(F.count("*").alias("same"), F.min(me).alias("one"))
+        mixed = classes.groupBy("h").agg((F.count("*") > 1).alias("mixed"))
+        joined = met.join(classes.join(mixed, "h"), ["h", "stretch"])
+        return joined.select("row", "place", (F.col("same") > 1).alias("whole"), (F.col("mixed") & (me == F.col("one"))).alias("parts")).where("whole or parts")
 
 
 def digests(docs: DataFrame, wanted: DataFrame, window: int = WINDOW) -> DataFrame:
-    """d (128 bits of the words), doc_id, key, start, stop: of the whole stretch of each wanted
-    anchor if all its occurrences share one, else of each window in it."""
+    """d, e (96 bits of the words), row, span (start * 2^32 + stop): of the stretch of each wanted
+    anchor and of the single windows in it, as repeated() asks for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
-                d, row, start, stop = [], [], [], []
-                for i, (text, places) in enumerate(zip(part.column(2).to_pylist(), part.column(3).to_pylist())):
+                d, row, span = [], [], []
+                for i, (text, places) in enumerate(zip(part.column(1).to_pylist(), part.column(2).to_pylist())):
                     words = text.encode("utf-8", "surrogatepass").split()
                     for place in places:
-                        mixed, first, before, after = place & 1, place >> 17, place >> 9 & 255, place >> 1 & 255
-                        spans = [(first + k, first + k + window) for k in range(after + 1)] if mixed else [(first, first + after + window)]
-                        for a, b in spans:
-                            tag = b"w" if mixed else b"s%d,%d" % (before, after)
-                            d.append(hashlib.blake2b(b" ".join(words[a:b]), digest_size=16, person=tag).digest())
+                        whole, parts, first, before, after = place & 2, place & 1, place >> 18, place >> 10 & 255, place >> 2 & 255
+                        spans = [(first, first + after + window, b"s%d,%d" % (before, after))] if whole else []
+                        if parts:
+                            spans += [(first + k, first + k + window, b"w") for k in range(after + 1)]
+                        for a, b, tag in spans:
+                            d.append(hashlib.blake2b(b" ".join(words[a:b]), digest_size=12, person=tag).digest())
                             row.append(i)
-                            start.append(a)
-                            stop.append(b)
-                rows = pa.array(row, pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(d, pa.binary()), part.column(0).take(rows), part.column(1).take(rows), pa.array(start, pa.int32()), pa.array(stop, pa.int32())], ["d", "doc_id", "key", "start", "stop"])
-
-    per_doc = wanted.groupBy("doc_id", "key").agg(F.collect_set(F.col("place") * 2 + F.col("mixed").cast("int")).alias("places"))
-    per_doc = per_doc.withColumnsRenamed({"doc_id": "id_", "key": "key_"})
-    texts = docs.select("doc_id", text_key(F.col("text")).alias("key"), "text")
-    both = texts.join(per_doc, F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("key") == F.col("key_"))).select("doc_id", "key", "text", "places")
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    return both.mapInArrow(run, f"d binary, doc_id {id_type}, key long, start int, stop int")
+                            span.append(a << 32 | b)
+                both = np.frombuffer(b"".join(d), np.dtype([("d", "<i8"), ("e", "<i4")]))
+                yield pa.RecordBatch.from_arrays([pa.array(both["d"]), pa.array(both["e"]), part.column(0).take(pa.array(row, pa.int64())), pa.array(span, pa.int64())], ["d", "e", "row", "span"])
+
+    per_row = wanted.groupBy("row").agg(F.collect_set(F.col("place") * 4 + F.col("whole").cast("int") * 2 + F.col("parts").cast("int")).alias("places"))
+    per_row = shared_table(per_row, "places-met")
+    # texts without a wanted place need not be shuffled
+    texts = docs.select(row_key().alias("row"), "text").join(bounded_broadcast(per_row.select("row"), BROADCAST_ROWS), "row", "left_semi")
+    both = texts.join(per_row.hint("merge"), "row").select("row", "text", "places")
+    return both.mapInArrow(run, "d long, e int, row long, span long")
 
 
 def repeated_spans(docs: DataFrame, index: FingerprintIndex) -> DataFrame:
-    """doc_id, key, spans (sorted start * 2^32 + stop): words of docs covered by windows that occur
-    elsewhere too. docs: all documents whose runs the index holds."""
+    """row, spans (start * 2^32 + stop, sorted and apart): words of docs covered by windows that
+    occur elsewhere too. docs: all documents whose runs the index holds."""
     found = shared_table(digests(docs, index.repeated(), index.window), "window-digests")
-    twice = found.groupBy("d").agg(F.count("*").alias("n")).where("n > 1").select("d")
-    span = F.shiftleft(F.col("start").cast("long"), 32) + F.col("stop")
-    return found.join(twice, "d", "left_semi").groupBy("doc_id", "key").agg(F.array_sort(F.collect_set(span)).alias("spans"))
+    twice = found.groupBy("d", "e").count().where("count > 1").select("d", "e")
+    spans = found.join(twice, ["d", "e"], "left_semi").groupBy("row").agg(F.array_sort(F.collect_set("span")).alias("s"))
+    start, stop = lambda x: F.shiftright(x, 32), lambda x: x.bitwiseAND(F.lit(0xFFFFFFFF))
+    # runs of overlapping spans become one
+    none = F.struct(F.array().cast("array<bigint>").alias("out"), F.lit(-1).cast("long").alias("a"), F.lit(-1).cast("long").alias("b"))
+    done = lambda acc: F.concat(acc["out"], F.array(F.shiftleft(acc["a"], 32) + acc["b"]))
+    grow = lambda acc, x: F.when(start(x) <= acc["b"], F.struct(acc["out"].alias("out"), acc["a"].alias("a"), F.greatest(acc["b"], stop(x)).alias("b"))).otherwise(F.struct(F.when(acc["b"] < 0, acc["out"]).otherwise(done(acc)).alias("out"), start(x).alias("a"), stop(x).alias("b")))
+    return spans.select("row", F.aggregate("s", none, grow, done).alias("spans"))
 
 
 def _kept(words: list[bytes], spans: list[int] | None) -> list[bytes]:
@@ -239,9 +260,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, batches: list[DataFram
     index = FingerprintIndex(docs.sparkSession, window, min(GRAM, window))
     for part in batches or [docs]:
         index.add(part)
-    spans = repeated_spans(docs, index).withColumnsRenamed({"doc_id": "id_", "key": "key_"})
-    texts = docs.select("doc_id", text_key(F.col("text")).alias("key"), "text")
-    both = texts.join(spans, F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("key") == F.col("key_")), "left").select("doc_id", "text", "spans")
+    spans = shared_table(repeated_spans(docs, index), "repeated-spans")
+    most = spans.agg(F.coalesce(F.sum(F.size("spans") + 4), F.lit(0))).first()[0]  # words of eight bytes
+    spans = F.broadcast(spans) if most <= BROADCAST_WORDS else spans
+    both = docs.select("doc_id", row_key().alias("row"), "text").join(spans, "row", "left").select("doc_id", "text", "spans")
 
     def run(record_batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in record_batches:
