@@ -1,0 +1,39 @@
+"""Walks over page graphs: reachable pages and nearest labelled ancestors."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from corvid.session import shared_table
+
+
+def reachable(start: DataFrame, edges: DataFrame) -> DataFrame:
+    """id of all nodes that edges (src, dst) lead to from start (id), with the fewest steps (depth).
+
+    Each round joins only the nodes found in the last one; written tables cut the lineage.
+    """
+    seen = frontier = shared_table(start.select("id", F.lit(0).alias("depth")).distinct(), "reached")
+    depth = 0
+    while frontier.limit(1).count():
+        depth += 1
+        step = frontier.join(edges, frontier["id"] == edges["src"]).select(F.col("dst").alias("id")).distinct().join(seen, "id", "left_anti")
+        frontier = shared_table(step.select("id", F.lit(depth).alias("depth")), "frontier")
+        seen = seen.unionByName(frontier)
+    return seen
+
+
+def nearest_label(nodes: DataFrame, parents: DataFrame, most: int = 32) -> DataFrame:
+    """id, label, steps: the node's own label or that of the nearest ancestor; nodes: id, label (or null)."""
+    up = parents.select(F.col("id").alias("at"), F.col("parent"))
+    open_ = nodes.select("id", F.col("id").alias("at"), "label", F.lit(0).alias("steps"))
+    out = open_.where("label is not null").select("id", "label", "steps")
+    open_ = open_.where("label is null").select("id", "at")
+    labels = nodes.select(F.col("id").alias("parent"), "label")
+    for k in range(1, most + 1):
+        moved = shared_table(open_.join(up, "at").join(labels, "parent").select("id", F.col("parent").alias("at"), "label", F.lit(k).alias("steps")), "walk")
+        if not moved.limit(1).count():
+            break
+        out = out.unionByName(moved.where("label is not null").select("id", "label", "steps"))
+        open_ = moved.where("label is null").select("id", "at")
+    return out

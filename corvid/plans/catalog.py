@@ -1,11 +1,368 @@
-"""Registered queries of the retrieval engine and their SQL twins."""
+"""Registered queries of the retrieval engine over the driver's tables, and their SQL twins."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries():
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from corvid.functions import distance
+from corvid.functions import text as T
+from corvid.operators import evaluate, graph, pages
+from corvid.operators import index as I
+from corvid.operators import rankers as R
+from corvid.sources import html
+from corvid.streaming import crawl
 
-def oracle_sql():
-    return {}
+_queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_oracles: dict[str, str] = {}
+
+QUERY = "the thing that was for her only"
+_TOKENS = "regexp_extract_all(lower({}), '[a-z0-9]+')"
+_TITLE = "substr(split_part(text, chr(10), 1), 1, 80)"
+_ENTRY = f"e AS (SELECT doc_id AS id, {_TITLE} AS title, text, source, lang FROM documents)"
+_TOKS = f"tk AS (SELECT id, list_concat({_TOKENS.format('title')}, {_TOKENS.format('title')}, {_TOKENS.format('title')}, {_TOKENS.format('text')}) AS toks FROM e)"
+_BM25 = f"""tf AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(toks) AS term FROM tk) GROUP BY id, term),
+st AS (SELECT count(*) AS n, avg(len(toks)) AS avgdl FROM tk), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+qt AS (SELECT DISTINCT qid, term FROM (SELECT qid, unnest({_TOKENS.format('q')}) AS term FROM qs)),
+sc AS (SELECT qid, tf.id, round(sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(toks) / avgdl))), 6) AS score FROM qt JOIN tf USING (term) JOIN df USING (term) JOIN tk ON tk.id = tf.id, st GROUP BY qid, tf.id)"""
+_ONE = f"qs AS (SELECT 0 AS qid, '{QUERY}' AS q)"
+_RANK = "SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM sc"
+
+
+def query(sql: str | None = None):
+    def put(f):
+        _queries[f.__name__] = f
+        if sql:
+            _oracles[f.__name__] = sql
+        return f
+
+    return put
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_queries)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_oracles)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.entries(table(spark, sf_dir, "documents"))
+
+
+def one_query(spark: SparkSession, q: str = QUERY) -> DataFrame:
+    return spark.range(1).select(F.lit(0).alias("qid"), F.lit(q).alias("q"))
+
+
+def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first six words of each benchmark item."""
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.array_join(F.slice(T.tokens(F.col("text")), 1, 6), " ").alias("q"))
+
+
+def names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dotted names made of the parts table."""
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.concat_ws(".", F.replace("p_brand", F.lit("#"), F.lit("")), F.replace("p_name", F.lit(" "), F.lit("_"))).alias("name"))
+
+
+_NAMES = "n AS (SELECT p_partkey AS id, replace(p_brand, '#', '') || '.' || replace(p_name, ' ', '_') AS name FROM part)"
+_QUESTIONS = f"qs AS (SELECT item_id AS qid, array_to_string({_TOKENS.format('text')}[1:6], ' ') AS q FROM benchmark)"
+
+
+@query(f"WITH {_ENTRY}, {_TOKS} SELECT term, id, count(*) AS tf FROM (SELECT id, unnest(toks) AS term FROM tk) GROUP BY term, id")
+def token_postings(spark, sf_dir):
+    return I.postings(entries(spark, sf_dir))
+
+
+@query(f"WITH {_ENTRY}, {_TOKS} SELECT id, CAST(len(toks) AS BIGINT) AS len FROM tk")
+def doc_lengths(spark, sf_dir):
+    return I.lengths(entries(spark, sf_dir))
+
+
+@query(f"WITH {_ENTRY}, {_TOKS} SELECT term, count(DISTINCT id) AS df FROM (SELECT id, unnest(toks) AS term FROM tk) GROUP BY term")
+def vocabulary_df(spark, sf_dir):
+    return I.document_frequency(I.postings(entries(spark, sf_dir)))
+
+
+@query(f"WITH {_ENTRY}, {_TOKS}, {_ONE}, {_BM25} SELECT * FROM ({_RANK}) WHERE rank <= 200")
+def bm25_topk(spark, sf_dir):
+    return R.bm25(entries(spark, sf_dir), one_query(spark))
+
+
+@query(f"WITH {_ENTRY}, {_TOKS}, {_QUESTIONS}, {_BM25} SELECT * FROM ({_RANK}) WHERE rank <= 10")
+def bm25_batch(spark, sf_dir):
+    return R.bm25(entries(spark, sf_dir), questions(spark, sf_dir), 10)
+
+
+@query(f"WITH {_ENTRY}, {_TOKS}, {_ONE}, {_BM25}, m AS (SELECT sc.* FROM sc JOIN e USING (id) WHERE lang = 'en') SELECT * FROM ({_RANK.replace('FROM sc', 'FROM m')}) WHERE rank <= 200")
+def mode_masked_search(spark, sf_dir):
+    return R.bm25(entries(spark, sf_dir), one_query(spark), mask=F.col("lang") == "en")
+
+
+@query(f"WITH {_ENTRY}, {_TOKS}, {_ONE}, {_BM25} SELECT qid, id, score, rank FROM ({_RANK}) r JOIN e USING (id) WHERE rank <= 200 AND source IN ('src1', 'src2')")
+def source_post_filter(spark, sf_dir):
+    e = entries(spark, sf_dir)
+    return R.bm25(e, one_query(spark)).join(e.where(F.col("source").isin("src1", "src2")).select("id"), "id", "left_semi").select("qid", "id", "score", "rank")
+
+
+@query(f"WITH {_ENTRY}, {_TOKS}, {_ONE}, {_BM25}, r AS (SELECT * FROM ({_RANK}) WHERE rank <= 200) SELECT id, tier, row_number() OVER (ORDER BY tier, rank) AS place FROM (SELECT id, rank, CASE WHEN source = 'src1' THEN 1 WHEN lang = 'en' THEN 2 ELSE 3 END AS tier FROM r JOIN e USING (id))")
+def project_tiers(spark, sf_dir):
+    e = entries(spark, sf_dir)
+    tier = F.when(F.col("source") == "src1", 1).when(F.col("lang") == "en", 2).otherwise(3)
+    ranked = R.bm25(e, one_query(spark)).join(e.select("id", tier.alias("tier")), "id")
+    return ranked.select("id", "tier", F.row_number().over(Window.orderBy("tier", "rank")).alias("place"))
+
+
+@query(f"WITH {_ENTRY}, {_TOKS}, {_ONE}, {_BM25} SELECT id, rank FROM ({_RANK}) WHERE rank > 60 AND rank <= 120")
+def paginate(spark, sf_dir):
+    return R.bm25(entries(spark, sf_dir), one_query(spark)).where("rank > 60 and rank <= 120").select("id", "rank")
+
+
+_GRAMS = "list_distinct(list_transform(generate_series(1, length({0}) + 1), lambda i: substr('  ' || {0} || ' ', i, 3)))"
+_PROCESSED = "trim(regexp_replace(lower({}), '[^\\p{{L}}\\p{{N}}]', ' ', 'g'))"
+
+
+@query(f"WITH {_ENTRY}, g AS (SELECT id, unnest({_GRAMS.format('p')}) AS gram FROM (SELECT id, {_PROCESSED.format('title')} AS p FROM e)), w AS (SELECT DISTINCT unnest({_GRAMS.format('p')}) AS gram FROM (SELECT {_PROCESSED.format(repr(QUERY))} AS p)), s AS (SELECT id, count(*) AS shared FROM g JOIN w USING (gram) GROUP BY id) SELECT * FROM (SELECT 0 AS qid, id, shared, row_number() OVER (ORDER BY shared DESC, id) AS rank FROM s) WHERE rank <= 5000")
+def title_trigram_overlap(spark, sf_dir):
+    return R.by_grams(entries(spark, sf_dir), one_query(spark))
+
+
+@query(f"WITH {_NAMES}, k AS (SELECT id, name, lower(name) AS p FROM n), s AS (SELECT id, name, array_to_string(string_split(p, '.')[i:], '.') AS key FROM (SELECT id, name, p, unnest(generate_series(1, len(string_split(p, '.')))) AS i FROM k)) SELECT id, name, key FROM s")
+def name_suffixes(spark, sf_dir):
+    return I.name_keys(names(spark, sf_dir)).select("id", "name", "key")
+
+
+_KEYS = "k AS (SELECT DISTINCT id, name, unnest(list_transform(generate_series(1, len(string_split(lower(name), '.'))), lambda i: array_to_string(string_split(lower(name), '.')[i:], '.'))) AS key FROM n)"
+
+
+@query(f"WITH {_NAMES}, {_KEYS}, w AS (SELECT min(split_part(lower(name), '.', 2)) AS want FROM n) SELECT id, name, row_number() OVER (ORDER BY length(name) - length(replace(name, '.', '')), length(name), id) AS rank FROM k, w WHERE key = want")
+def name_exact(spark, sf_dir):
+    n = names(spark, sf_dir)
+    q = n.agg(F.min(F.split(F.lower("name"), r"\.")[1]).alias("q")).select(F.lit(0).alias("qid"), "q")
+    return R.by_name(n, q).select("id", "name", "rank")
+
+
+@query(f"WITH {_NAMES}, {_KEYS}, f AS (SELECT DISTINCT id, name FROM k WHERE starts_with(key, 'brand1') AND key <> 'brand1') SELECT * FROM (SELECT id, name, row_number() OVER (ORDER BY length(name) - length(replace(name, '.', '')), length(name), id) AS rank FROM f) WHERE rank <= 200")
+def name_prefix(spark, sf_dir):
+    return R.by_name(names(spark, sf_dir), one_query(spark, "brand1"), prefix=True).select("id", "name", "rank")
+
+
+@query("WITH k AS (SELECT p_partkey AS id, lower(p_name) AS key FROM part), w AS (SELECT min(key) || 'x' AS want FROM k), s AS (SELECT id, levenshtein(key, want) AS distance, key FROM k, w WHERE abs(length(key) - length(want)) <= 2 AND levenshtein(key, want) <= 2) SELECT * FROM (SELECT id, distance, row_number() OVER (ORDER BY distance, key, id) AS rank FROM s) WHERE rank <= 200")
+def levenshtein_band(spark, sf_dir):
+    n = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
+    q = n.agg(F.concat(F.min(F.lower("name")), F.lit("x")).alias("q")).select(F.lit(0).alias("qid"), "q")
+    return R.by_edits(n, q).select("id", F.col("distance").cast("long").alias("distance"), "rank")
+
+
+_DOT = "round(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: CAST(z[1] AS DOUBLE) * CAST(z[2] AS DOUBLE))), 5)"
+
+
+def vectors(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+
+
+@query(f"SELECT id, score FROM (SELECT a.vec_id AS id, {_DOT} AS score, row_number() OVER (ORDER BY {_DOT} DESC, a.vec_id) AS rank FROM embeddings a, embeddings b WHERE b.vec_id = 0) WHERE rank <= 200")
+def cosine_topk(spark, sf_dir):
+    v = vectors(spark, sf_dir)
+    scored = v.crossJoin(F.broadcast(v.where("id = 0").select(F.col("v").alias("qv")))).select("id", F.round(R.dot(F.col("v"), F.col("qv")), 5).alias("score"))
+    return scored.orderBy(F.desc("score"), "id").limit(200)
+
+
+@query(f"WITH {_ENTRY}, {_TOKS}, {_ONE}, {_BM25}, r1 AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rank FROM sc), g AS (SELECT id, unnest({_GRAMS.format('p')}) AS gram FROM (SELECT id, {_PROCESSED.format('title')} AS p FROM e)), w AS (SELECT DISTINCT unnest({_GRAMS.format('p')}) AS gram FROM (SELECT {_PROCESSED.format(repr(QUERY))} AS p)), r2 AS (SELECT id, row_number() OVER (ORDER BY count(*) DESC, id) AS rank FROM g JOIN w USING (gram) GROUP BY id), u AS (SELECT 0 AS n, 1.0 AS w, id, rank FROM r1 WHERE rank <= 200 UNION ALL SELECT 1, 0.5, id, rank FROM r2 WHERE rank <= 200), f AS (SELECT id, round(sum(w / (60 + rank)), 9) AS score, min(n * 1000000 + rank) AS first FROM u GROUP BY id) SELECT * FROM (SELECT id, score, row_number() OVER (ORDER BY score DESC, first, id) AS rank FROM f) WHERE rank <= 100")
+def rrf_fuse(spark, sf_dir):
+    e, q = entries(spark, sf_dir), one_query(spark)
+    return R.fuse([("words", 1.0, R.bm25(e, q)), ("edit", 0.5, R.by_grams(e, q, 200))]).select("id", "score", "rank")
+
+
+@query(f"WITH {_ENTRY} SELECT id FROM e WHERE regexp_matches(text, '(^|[^A-Za-z0-9_])[Oo][Ff]\\s+[Tt][Hh][Ee]($|[^A-Za-z0-9_])')")
+def strict_phrase(spark, sf_dir):
+    return entries(spark, sf_dir).where(F.col("text").rlike(r"(?i)(?<![A-Za-z0-9_])of\s+the(?![A-Za-z0-9_])")).select("id")
+
+
+@query(f"WITH {_ENTRY} SELECT id, title FROM e WHERE regexp_matches(title, '^[A-Z][a-z]+ (the|of)')")
+def strict_regex(spark, sf_dir):
+    return entries(spark, sf_dir).where(F.col("title").rlike("^[A-Z][a-z]+ (the|of)")).select("id", "title")
+
+
+@query(f"WITH {_ENTRY}, o AS (SELECT id, title, source, lag(title) OVER (PARTITION BY source ORDER BY lang, id) AS before, row_number() OVER (PARTITION BY source ORDER BY lang, id) AS place FROM e) SELECT id, source, place FROM o WHERE before IS NULL OR before <> title")
+def browse_order(spark, sf_dir):
+    w = Window.partitionBy("source").orderBy("lang", "id")
+    o = entries(spark, sf_dir).select("id", "source", F.row_number().over(w).alias("place"), "title", F.lag("title").over(w).alias("before"))
+    return o.where("before is null or before <> title").select("id", "source", "place")
+
+
+@query(f"WITH {_ENTRY}, l AS (SELECT id, list_filter(list_transform(string_split(regexp_replace(text, '(?s)```.*?(```|\\z)', '', 'g'), chr(10)), lambda x: trim(x)), lambda x: length(x) > 3 AND NOT starts_with(x, '|') AND NOT ends_with(x, ':')) AS g FROM e) SELECT id, substr(coalesce(g[1], ''), 1, 200) AS summary FROM l")
+def summary_line(spark, sf_dir):
+    return entries(spark, sf_dir).select("id", T.summary(F.col("text")).alias("summary"))
+
+
+@query()
+def sentence_snippet(spark, sf_dir):
+    return entries(spark, sf_dir).select("id", T.snippet(F.col("text"), F.lit(QUERY)).alias("snippet"))
+
+
+@query("WITH w AS (SELECT doc_id, list_distinct(list_transform(generate_series(1, len(t) - 3), lambda i: array_to_string(t[i:i+3], ' '))) AS s FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM documents)) SELECT a.doc_id AS a, b.doc_id AS b, CAST(len(list_intersect(a.s, b.s)) AS BIGINT) AS shared FROM w a JOIN w b ON b.doc_id = a.doc_id + 1")
+def shingle_overlap(spark, sf_dir):
+    s = table(spark, sf_dir, "documents").select("doc_id", T.shingles(T.tokens(F.col("text"))).alias("s"))
+    return s.select(F.col("doc_id").alias("a"), "s").join(s.select((F.col("doc_id") - 1).alias("a"), F.col("doc_id").alias("b"), F.col("s").alias("t")), "a").select("a", "b", F.size(F.array_intersect("s", "t")).cast("long").alias("shared"))
+
+
+@query(f"WITH {_ENTRY} SELECT min(id) AS id, title, count(*) AS n FROM e GROUP BY title")
+def first_wins_dedupe(spark, sf_dir):
+    return entries(spark, sf_dir).groupBy("title").agg(F.min("id").alias("id"), F.count("*").alias("n")).select("id", "title", "n")
+
+
+@query("SELECT doc_id, CAST(len(regexp_extract_all(text, '[A-Za-z]+')) AS BIGINT) AS words, trim(regexp_replace(regexp_replace(regexp_replace(text, '```[A-Za-z0-9]*', ' ', 'g'), '[`#]', ' ', 'g'), '\\s+', ' ', 'g')) AS plain FROM documents")
+def plain_text(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(F.regexp_extract_all("text", F.lit("([A-Za-z]+)"), 1)).cast("long").alias("words"), T.plain(F.col("text")).alias("plain"))
+
+
+_NORMAL = "lower(regexp_extract(b, '^([^/]*)', 1)) || regexp_replace(regexp_replace(b, '^[^/]*', ''), '(/index)?(\\.html?)?/?$', '')"
+_BARE = "SELECT page_id, regexp_replace(regexp_replace(url, '[?#].*$', ''), '^[A-Za-z]+://(www\\.)?', '') AS b FROM pages"
+
+
+@query(f"SELECT page_id, {_NORMAL} AS normal FROM ({_BARE})")
+def url_normalize(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", T.normal_url(F.col("url")).alias("normal"))
+
+
+@query(f"WITH u AS (SELECT string_split({_NORMAL}, '/') AS p FROM ({_BARE})), s AS (SELECT p, unnest(generate_series(2, len(p))) AS i FROM u), l AS (SELECT array_to_string(p[1:i-1], '/') AS place, p[i] AS s FROM s WHERE regexp_full_match(p[i], '[a-z]{{2}}(-[a-z]{{2}})?')) SELECT place, count(DISTINCT s) AS values FROM l GROUP BY place HAVING count(DISTINCT s) >= 2")
+def url_variants(spark, sf_dir):
+    return pages.variants(table(spark, sf_dir, "pages").select("url"))
+
+
+@query(f"WITH u AS (SELECT page_id, {_NORMAL} AS n FROM ({_BARE})), s AS (SELECT DISTINCT split_part(n, '/', 1) AS site FROM u UNION SELECT DISTINCT split_part(n, '/', 1) || '/' || split_part(n, '/', 2) FROM u WHERE split_part(n, '/', 2) = 'en') SELECT page_id, max_by(site, length(site)) AS site FROM u JOIN s ON n = site OR starts_with(n, site || '/') GROUP BY page_id")
+def longest_prefix_site(spark, sf_dir):
+    p = table(spark, sf_dir, "pages").select("page_id", "url")
+    n = p.select(F.split(T.normal_url(F.col("url")), "/").alias("n"))
+    sites = n.select(F.col("n")[0].alias("site")).unionByName(n.where(F.get("n", F.lit(1)) == "en").select(F.concat_ws("/", F.col("n")[0], F.lit("en")).alias("site"))).distinct()
+    return pages.longest_site(p, sites)
+
+
+@query("SELECT event_type AS kind, count(*) AS n, arg_min(event_id, {'ts': ts, 'event_id': event_id}) AS first FROM events GROUP BY event_type")
+def failure_summary(spark, sf_dir):
+    return pages.failures(table(spark, sf_dir, "events").select(F.col("event_type").alias("kind"), F.col("ts").alias("at"), F.col("event_id").alias("what")))
+
+
+@query("WITH c AS (SELECT source, count(*) AS listed, count(*) FILTER (n_chars >= 40) AS read, count(*) FILTER (n_chars < 40) AS failed, count(*) AS old FROM documents GROUP BY source) SELECT *, failed <= 0.05 * read AND CASE WHEN listed >= 20 THEN read >= 0.9 * listed ELSE read >= 0.7 * old END AS replace FROM c")
+def coverage_gate(spark, sf_dir):
+    c = table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("listed"), F.count_if(F.col("n_chars") >= 40).alias("read"), F.count_if(F.col("n_chars") < 40).alias("failed"), F.count("*").alias("old"))
+    return pages.coverage(c)
+
+
+@query("SELECT event_type, median(value) AS p50, quantile_cont(value, 0.95) AS p95 FROM events GROUP BY event_type")
+def latency_percentiles(spark, sf_dir):
+    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.percentile("value", 0.5).alias("p50"), F.percentile("value", 0.95).alias("p95"))
+
+
+@query("WITH t AS (SELECT event_type AS name, round(1.0 * sum(CASE WHEN event_id % 97 = 0 THEN 1 ELSE 0 END) / count(*), 6) AS p FROM events GROUP BY event_type), s AS (SELECT name, p, row_number() OVER (ORDER BY p, name) AS i, count(*) OVER () AS m FROM t) SELECT name, p, round(max(least(1.0, p * (m - i + 1))) OVER (ORDER BY p, name ROWS UNBOUNDED PRECEDING), 6) AS adjusted FROM s")
+def holm_adjust(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    p = e.groupBy(F.col("event_type").alias("name")).agg(F.round(F.sum(F.when(F.col("event_id") % 97 == 0, 1).otherwise(0)) / F.count("*"), 6).alias("p"))
+    return evaluate.holm(p)
+
+
+@query(f"WITH {_ENTRY}, {_TOKS}, {_QUESTIONS}, {_BM25}, r AS (SELECT * FROM ({_RANK}) WHERE rank <= 50), gold AS (SELECT q.qid, d.doc_id AS id, CASE WHEN l.quality = 1 THEN 2 ELSE 1 END AS grade FROM (SELECT item_id AS qid, text FROM benchmark) q JOIN documents d ON contains(d.text, substr(q.text, 1, 60)) JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id) l USING (doc_id)), h AS (SELECT r.qid, r.rank, grade FROM r JOIN gold USING (qid, id)), id AS (SELECT qid, sum((2.0 ** grade - 1) / (ln(i + 1) / ln(2))) AS ideal FROM (SELECT qid, grade, row_number() OVER (PARTITION BY qid ORDER BY grade DESC, id) AS i FROM gold) WHERE i <= 10 GROUP BY qid), f AS (SELECT qid, min(rank) FILTER (grade > 0) AS first, min(rank) FILTER (grade > 1) AS strict, sum(CASE WHEN rank <= 10 THEN (2.0 ** grade - 1) / (ln(rank + 1) / ln(2)) ELSE 0 END) AS dcg FROM h GROUP BY qid) SELECT qs.qid, round(CASE WHEN first <= 10 THEN 1.0 / first ELSE 0 END, 6) AS mrr, round(CASE WHEN strict <= 10 THEN 1.0 / strict ELSE 0 END, 6) AS strict_mrr, CASE WHEN first <= 1 THEN 1 ELSE 0 END AS r1, CASE WHEN first <= 5 THEN 1 ELSE 0 END AS r5, CASE WHEN first <= 10 THEN 1 ELSE 0 END AS r10, CASE WHEN first <= 50 THEN 1 ELSE 0 END AS r50, round(coalesce(dcg / ideal, 0), 6) AS ndcg FROM qs LEFT JOIN f USING (qid) LEFT JOIN id USING (qid)")
+def mrr_ndcg(spark, sf_dir):
+    q = questions(spark, sf_dir)
+    starts = F.broadcast(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.substring("text", 1, 60).alias("start")))
+    held = table(spark, sf_dir, "documents").select("doc_id", "text").join(starts, F.contains(F.col("text"), F.col("start"))).select("qid", "doc_id")
+    grade = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.when(F.max("quality") == 1, 2).otherwise(1).alias("grade"))
+    gold = held.join(grade, "doc_id").select("qid", F.col("doc_id").alias("id"), "grade")
+    return evaluate.per_query(R.bm25(entries(spark, sf_dir), q, 50), gold, q)
+
+
+@query("WITH RECURSIVE r AS (SELECT r_regionkey AS id, 0 AS depth FROM region WHERE r_regionkey = 0), n AS (SELECT n_nationkey + 100 AS id, 1 AS depth FROM nation JOIN r ON n_regionkey = r.id), c AS (SELECT c_custkey + 1000 AS id, 2 AS depth FROM customer JOIN n ON c_nationkey + 100 = n.id) SELECT id, depth FROM r UNION ALL SELECT * FROM n UNION ALL SELECT * FROM c")
+def reachable_pages(spark, sf_dir):
+    n = table(spark, sf_dir, "nation").select(F.col("n_regionkey").cast("long").alias("src"), (F.col("n_nationkey") + 100).cast("long").alias("dst"))
+    c = table(spark, sf_dir, "customer").select((F.col("c_nationkey") + 100).cast("long").alias("src"), (F.col("c_custkey") + 1000).alias("dst"))
+    start = table(spark, sf_dir, "region").where("r_regionkey = 0").select(F.col("r_regionkey").cast("long").alias("id"))
+    return graph.reachable(start, n.unionByName(c))
+
+
+@query("SELECT c_custkey AS id, CASE WHEN c_acctbal > 9000 THEN c_mktsegment WHEN n_nationkey % 5 = 0 THEN n_name ELSE r_name END AS label, CASE WHEN c_acctbal > 9000 THEN 0 WHEN n_nationkey % 5 = 0 THEN 1 ELSE 2 END AS steps FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
+def ancestor_label(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("id"), F.concat(F.lit("n"), "c_nationkey").alias("parent"), F.when(F.col("c_acctbal") > 9000, F.col("c_mktsegment")).alias("label"))
+    n = table(spark, sf_dir, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("id"), F.concat(F.lit("r"), "n_regionkey").alias("parent"), F.when(F.col("n_nationkey") % 5 == 0, F.col("n_name")).alias("label"))
+    r = table(spark, sf_dir, "region").select(F.concat(F.lit("r"), "r_regionkey").alias("id"), F.lit(None).cast("string").alias("parent"), F.col("r_name").alias("label"))
+    every = c.unionByName(n).unionByName(r)
+    found = graph.nearest_label(every.select("id", "label"), every.where("parent is not null").select("id", "parent"))
+    return found.where(F.startswith(F.col("id"), F.lit("c"))).select(F.substring("id", 2, 20).cast("long").alias("id"), "label", "steps")
+
+
+@query("SELECT r_name AS section, n_name AS sub, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_name, n_name HAVING count(*) >= 2")
+def sections_by_level(spark, sf_dir):
+    j = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return j.groupBy(F.col("r_name").alias("section"), F.col("n_name").alias("sub")).agg(F.count("*").alias("n")).where("n >= 2")
+
+
+@query("SELECT * FROM (VALUES ('3.13', '3.12.4', true), ('3.12', '3.12.4', false), ('2', '10', false), ('1.10', '1.9', true), ('', '1', false)) AS t(mark, than, newer)")
+def version_compare(spark, sf_dir):
+    rows = spark.sql("SELECT * FROM (VALUES ('3.13', '3.12.4'), ('3.12', '3.12.4'), ('2', '10'), ('1.10', '1.9'), ('', '1')) AS t(mark, than)")
+    return rows.select("mark", "than", T.newer(F.col("mark"), F.col("than")).alias("newer"))
+
+
+@query("SELECT * FROM (VALUES ('a', '3.12.4', '3.12'), ('a', '3', '3.12'), ('b', '1.0', '1.0')) AS t(package, want, have)")
+def nearest_version(spark, sf_dir):
+    wanted = spark.sql("SELECT * FROM (VALUES ('a', '3.12.4'), ('a', '3'), ('b', '1.0'), ('b', '2')) AS t(package, version)")
+    have = spark.sql("SELECT * FROM (VALUES ('a', '3.12'), ('a', '3.1'), ('a', '4'), ('b', '1.0'), ('b', '1.0.1x')) AS t(package, version)").where("version <> '1.0.1x'")
+    return pages.nearest_version(wanted, have)
+
+
+@query("SELECT conv_id, turn, role, length(text) AS chars, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations")
+def series_sections(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.char_length("text").cast("long").alias("chars"), F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")).alias("n"))
+
+
+_LOG = "SELECT user_id AS host, ts, event_id AS n, event_type <> 'click' AS ok FROM events"
+
+
+@query(f"WITH l AS ({_LOG}), r AS (SELECT *, sum(CAST(ok AS INT)) OVER (PARTITION BY host ORDER BY ts, n) AS run FROM l), s AS (SELECT host, max(c) AS streak FROM (SELECT host, run, count(*) AS c FROM r WHERE NOT ok GROUP BY host, run) GROUP BY host), t AS (SELECT host, count(*) AS n, count(*) FILTER (NOT ok) AS refused FROM l GROUP BY host) SELECT host, n, refused, coalesce(streak, 0) AS streak, CASE WHEN coalesce(streak, 0) = 0 THEN 0.0 ELSE least(10.0, 0.5 * 2.0 ** (streak - 1)) END AS gap FROM t LEFT JOIN s USING (host)")
+def host_pacing_state(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    return crawl.pacing(e.select(F.col("user_id").alias("host"), "ts", F.col("event_id").alias("n"), (F.col("event_type") != "click").alias("ok")))
+
+
+@query("SELECT page_id, length(url) AS chars FROM pages")
+def crawl_rounds_stream(spark, sf_dir):
+    source = table(spark, sf_dir, "pages").select("page_id", "url")
+    path = crawl.new_table_path(spark, "fetched")
+    source.repartition(3, "page_id").write.parquet(path)
+    return crawl.rounds(spark, path, "page_id long, url string", "page_id").select("page_id", F.char_length("url").cast("long").alias("chars"))
+
+
+@query()
+def html_sections(spark, sf_dir):
+    return html.sections(table(spark, sf_dir, "pages"))
+
+
+@query()
+def html_links(spark, sf_dir):
+    return html.links(table(spark, sf_dir, "pages"))
+
+
+@query()
+def article_text(spark, sf_dir):
+    return html.articles(table(spark, sf_dir, "pages"))
+
+
+@query()
+def osa_typo(spark, sf_dir):
+    n = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.lower("p_name").alias("key"))
+    want = F.broadcast(n.agg(F.min("key").alias("want")))
+    d = n.crossJoin(want).where(F.abs(F.char_length("key") - F.char_length("want")) <= 2)
+    return d.select("id", distance.osa_distance(F.col("key"), F.col("want"), F.lit(2)).alias("distance")).where("distance <= 2")
+
+
+@query()
+def subsequence_rank(spark, sf_dir):
+    n = names(spark, sf_dir)
+    scored = n.where(F.col("name").rlike("(?i)b.*r.*1.*s")).select("id", "name", distance.subsequence_score(F.lit("br1s"), F.col("name")).alias("score"))
+    return scored.where("score > 0").orderBy(F.desc("score"), F.desc("id")).limit(200)
