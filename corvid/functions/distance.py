@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType
 
 
 def osa(a: str, b: str, most: int) -> int:
@@ -47,12 +48,12 @@ def subsequence(query: str, title: str) -> float:
     return score - 0.01 * len(t)
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(IntegerType())
 def osa_distance(a: pd.Series, b: pd.Series, most: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else osa(x, y, m) for x, y, m in zip(a, b, most)], dtype="Int32")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def subsequence_score(query: pd.Series, title: pd.Series) -> pd.Series:
     return pd.Series([0.0 if q is None or t is None else subsequence(q, t) for q, t in zip(query, title)])
 
