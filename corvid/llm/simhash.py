@@ -185,7 +185,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, most_bits: int = 2) -> Da
 
 #: For near_dedup(): words of a fingerprint; bands of so many bits that bring candidates together
 #: (of two texts at the least similarity, nine in ten share one, and nearly all at 0.85); pairs in
-#: a bucket up to this size; differing bits up to which a pair is verified on its shingles.
+#: a bucket up to this size are all compared at once; differing bits up to which a pair is verified on its shingles.
 WIDE, BANDS, BAND_BITS, BUCKET, WIDE_BITS = 4, 64, 20, 32, 72
 BROADCAST_ROWS = 150_000
 
@@ -199,27 +199,59 @@ def wide_hamming(a: str, b: str) -> Column:
     return reduce(Column.__add__, [hamming(F.col(a)[i], F.col(b)[i]) for i in range(WIDE)])
 
 
-def similar_pairs(of_texts: DataFrame) -> DataFrame:
-    """a, b: pairs of keys worth verifying; of_texts: key, fp, bands, a row for each distinct text."""
-    refs = pivot_fingerprints(8, WIDE)
-    table = of_texts.select("key", "fp", *[reduce(Column.__add__, [hamming(F.col("fp")[i], F.lit(p[i])) for i in range(WIDE)]).cast("smallint").alias(f"d{n}") for n, p in enumerate(refs)])
-    listed = shared_table(of_texts.select("key", F.posexplode("bands").alias("band", "value")), "bands")
-    buckets = listed.groupBy("band", "value").agg(F.count("*").alias("size"), F.min("key").alias("first"), F.max("key").alias("last")).where("size > 1")
-    shared = shared_table(listed.join(buckets, ["band", "value"]), "bands-shared")
-    small = shared.where(F.col("size") <= BUCKET).select("band", "value", "key")
-    other = small.withColumnRenamed("key", "b")
-    pairs = small.withColumnRenamed("key", "a").join(other, ["band", "value"]).where("a < b").select("a", "b")
-    # a crowded bucket is compared with two of its members; what they don't resemble meets in other bands
-    crowded = shared.where(F.col("size") > BUCKET)
-    stars = crowded.select(F.col("first").alias("a"), F.col("key").alias("b")).unionByName(crowded.select(F.col("key").alias("a"), F.col("last").alias("b"))).where("a != b")
-    pairs = pairs.unionByName(stars).distinct()
-    one, two = (table.select(F.col("key").alias(k), *[F.col(c).alias(f"{k}_{c}") for c in table.columns[1:]]) for k in ("a", "b"))
-    both = pairs.join(one, "a").join(two, "b")
-    near = reduce(Column.__and__, [F.abs(F.col(f"a_d{i}") - F.col(f"b_d{i}")) <= WIDE_BITS for i in range(len(refs))])
-    return both.where(near & (wide_hamming("a_fp", "b_fp") <= WIDE_BITS)).select("a", "b")
-
-
-def near_dedup(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+def _resemble(pairs: DataFrame, pivots: int) -> DataFrame:
+    """a, b of those pairs (with a_fp, b_fp and their pivot distances) that no pivot and not the Hamming bound discards."""
+    near = reduce(Column.__and__, [F.abs(F.col(f"a_d{i}") - F.col(f"b_d{i}")) <= WIDE_BITS for i in range(pivots)])
+    return pairs.where(near & (wide_hamming("a_fp", "b_fp") <= WIDE_BITS)).select("a", "b")
+
+
+class WidePairs:
+    """Pairs of keys worth verifying; of_texts: key, fp, bands, a row for each distinct text.
+
+    Buckets of up to bucket texts pair all of them (first()). A crowded bucket is first compared
+    with two of its members; once those links are verified, rest() pairs what is still in different
+    components there. A group of near-copies is one component by then, so the work is linear in
+    its size, and each pair of a bucket is either compared or linked already.
+    """
+
+    PIVOTS = 8
+
+    def __init__(self, of_texts: DataFrame, bucket: int) -> None:
+        refs = pivot_fingerprints(self.PIVOTS, WIDE)
+        self.table = of_texts.select("key", "fp", *[reduce(Column.__add__, [hamming(F.col("fp")[i], F.lit(p[i])) for i in range(WIDE)]).cast("smallint").alias(f"d{n}") for n, p in enumerate(refs)])
+        listed = shared_table(of_texts.select("key", F.posexplode("bands").alias("band", "value")), "bands")
+        buckets = listed.groupBy("band", "value").agg(F.count("*").alias("size"), F.min("key").alias("first"), F.max("key").alias("last")).where("size > 1")
+        shared = shared_table(listed.join(buckets, ["band", "value"]), "bands-shared")
+        self.small = shared.where(F.col("size") <= bucket).select("band", "value", "key")
+        self.crowded = shared.where(F.col("size") > bucket)
+
+    def _named(self, k: str) -> DataFrame:
+        return self.table.select(F.col("key").alias(k), *[F.col(c).alias(f"{k}_{c}") for c in self.table.columns[1:]])
+
+    def first(self) -> DataFrame:
+        pairs = self.small.withColumnRenamed("key", "a").join(self.small.withColumnRenamed("key", "b"), ["band", "value"]).where("a < b").select("a", "b")
+        stars = self.crowded.select(F.col("first").alias("a"), F.col("key").alias("b")).unionByName(self.crowded.select(F.col("key").alias("a"), F.col("last").alias("b"))).where("a != b")
+        pairs = pairs.unionByName(stars).distinct()
+        return _resemble(pairs.join(self._named("a"), "a").join(self._named("b"), "b"), self.PIVOTS)
+
+    def rest(self, roots: DataFrame) -> DataFrame | None:
+        """roots: node, root of the links among first(). None if no crowded bucket has two components."""
+        members = self.crowded.select("band", "value", "key").join(roots.withColumnRenamed("node", "key"), "key", "left")
+        members = shared_table(members.select("band", "value", "key", F.coalesce("root", "key").alias("root")), "bands-crowded")
+        counts = members.groupBy("band", "value", "root").count()
+        main = counts.groupBy("band", "value").agg(F.max_by("root", "count").alias("main"), F.count("*").alias("n")).where("n > 1").drop("n")
+        main = shared_table(main, "bands-main")
+        mixed = shared_table(members.join(bounded_broadcast(main, BROADCAST_ROWS), ["band", "value"]), "bands-mixed")
+        others = mixed.where("root != main").select("band", "value", F.col("key").alias("a"), F.col("root").alias("a_root"))
+        if not others.limit(1).count():
+            return None
+        others = shared_table(others.join(self._named("a"), "a"), "bands-others")
+        every = mixed.select("band", "value", F.col("key").alias("b"), F.col("root").alias("b_root"), "main").join(self._named("b"), "b")
+        pairs = every.join(bounded_broadcast(others, BROADCAST_ROWS), ["band", "value"]).where("a_root != b_root and (b_root = main or a < b)")
+        return _resemble(pairs, self.PIVOTS).distinct()
+
+
+def near_dedup(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bucket: int = BUCKET) -> DataFrame:
     """The rows of docs, with all their columns, that stay: one of each group of near-duplicates.
 
     Two texts are linked if the sets of their shingles (runs of words, A-Z lower-cased; the whole of
@@ -232,10 +264,6 @@ def near_dedup(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> Da
     keyed = docs.select("doc_id", normalised_key(F.col("text")).alias("key"), "text")
     rows = shared_table(fingerprints(keyed, shingle, WIDE, ("doc_id", "key"), BANDS, BAND_BITS), "near-fingerprints")
     texts = shared_table(rows.groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"), F.min(F.struct("fp", "bands")).alias("f")).select("key", "least", "n", "f.fp", "f.bands"), "near-texts")
-    pairs = shared_table(similar_pairs(texts), "near-pairs")
-    named = shared_table(pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct().select(F.col("a").alias("key")), "near-pair-keys")
-    of_pairs = shared_table(keyed.select("key", "text").join(bounded_broadcast(named, BROADCAST_ROWS), "key").dropDuplicates(["key"]), "near-pair-texts")
-    texts_of = lambda k: of_pairs.select(F.col("key").alias(k), F.col("text").alias(f"text_{k}"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -245,8 +273,20 @@ def near_dedup(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> Da
                 keep.append(len(s & t) >= similarity * len(s | t) if s or t else True)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    linked = pairs.join(texts_of("a"), "a").join(texts_of("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(verify, "a string, b string")
-    roots = components(linked)
+    def linked(pairs: DataFrame) -> DataFrame:
+        named = shared_table(pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct().select(F.col("a").alias("key")), "near-pair-keys")
+        of_pairs = shared_table(keyed.select("key", "text").join(bounded_broadcast(named, BROADCAST_ROWS), "key").dropDuplicates(["key"]), "near-pair-texts")
+        texts_of = lambda k: of_pairs.select(F.col("key").alias(k), F.col("text").alias(f"text_{k}"))
+        return pairs.join(texts_of("a"), "a").join(texts_of("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(verify, "a string, b string")
+
+    candidates = WidePairs(texts, bucket)
+    links_first = shared_table(linked(shared_table(candidates.first(), "near-pairs")), "near-links")
+    roots = components(links_first)
+    if candidates.crowded.limit(1).count():
+        roots = shared_table(roots, "near-roots-first")
+        more = candidates.rest(roots)
+        if more is not None:
+            roots = components(links_first.unionByName(linked(shared_table(more, "near-pairs-rest"))))
     labelled = shared_table(texts.select("key", "least").join(roots.withColumnRenamed("node", "key"), "key", "left").select("key", "least", F.coalesce("root", "key").alias("root")), "near-roots")
     first = F.struct(F.col("least").isNull().alias("none"), "least", "key")
     winners = labelled.groupBy("root").agg(F.min(first).alias("w")).select("root", "w.least", F.col("w.key").alias("key"))

@@ -217,6 +217,21 @@ def test_near_dedup(spark):
     assert kept == [*range(30), 200, 202]
 
 
+def test_near_dedup_crowded_buckets_lose_no_pair(spark):
+    """Chains of gradual changes, whose ends don't resemble each other: every bucket crowded, or none."""
+    draw = random.Random(9)
+    rows = []
+    for _ in range(4):
+        t = [f"w{draw.randrange(5000)}" for _ in range(200)]
+        for _ in range(12):
+            rows.append((len(rows), " ".join(t)))
+            for _ in range(2):
+                t[draw.randrange(200)] = f"w{draw.randrange(5000)}"
+    docs = table(spark, rows)
+    kept = [sorted(r.doc_id for r in simhash.near_dedup(docs, bucket=b).collect()) for b in (1, 4, 10**6)]
+    assert kept[0] == kept[1] == kept[2] and len(kept[0]) < 12
+
+
 @pytest.mark.parametrize(("window", "batches"), [(8, None), (13, 6), (20, 2)])
 def test_substring_brute_force(spark, window, batches):
     draw = random.Random(window)
