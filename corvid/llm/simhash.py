@@ -19,6 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from corvid.llm.components import components
 from corvid.llm.text import ascii_lower, bounded_broadcast, split_words
@@ -209,9 +210,9 @@ class WidePairs:
     """Pairs of keys worth verifying; of_texts: key, fp, bands, a row for each distinct text.
 
     Buckets of up to bucket texts pair all of them (first()). A crowded bucket is first compared
-    with two of its members; once those links are verified, rest() pairs what is still in different
-    components there. A group of near-copies is one component by then, so the work is linear in
-    its size, and each pair of a bucket is either compared or linked already.
+    with two of its members. Once those links are verified, mixed() names the texts of crowded
+    buckets that still hold several components; prefix_pairs() pairs these, whatever their bucket,
+    so each similar pair of a bucket is either paired or linked already.
     """
 
     PIVOTS = 8
@@ -234,21 +235,59 @@ class WidePairs:
         pairs = pairs.unionByName(stars).distinct()
         return _resemble(pairs.join(self._named("a"), "a").join(self._named("b"), "b"), self.PIVOTS)
 
-    def rest(self, roots: DataFrame) -> DataFrame | None:
-        """roots: node, root of the links among first(). None if no crowded bucket has two components."""
+    def mixed(self, roots: DataFrame) -> DataFrame:
+        """key, root of the texts of crowded buckets that hold more than one component; roots: node, root of the links so far."""
         members = self.crowded.select("band", "value", "key").join(roots.withColumnRenamed("node", "key"), "key", "left")
         members = shared_table(members.select("band", "value", "key", F.coalesce("root", "key").alias("root")), "bands-crowded")
-        counts = members.groupBy("band", "value", "root").count()
-        main = counts.groupBy("band", "value").agg(F.max_by("root", "count").alias("main"), F.count("*").alias("n")).where("n > 1").drop("n")
-        main = shared_table(main, "bands-main")
-        mixed = shared_table(members.join(bounded_broadcast(main, BROADCAST_ROWS), ["band", "value"]), "bands-mixed")
-        others = mixed.where("root != main").select("band", "value", F.col("key").alias("a"), F.col("root").alias("a_root"))
-        if not others.limit(1).count():
-            return None
-        others = shared_table(others.join(self._named("a"), "a"), "bands-others")
-        every = mixed.select("band", "value", F.col("key").alias("b"), F.col("root").alias("b_root"), "main").join(self._named("b"), "b")
-        pairs = every.join(bounded_broadcast(others, BROADCAST_ROWS), ["band", "value"]).where("a_root != b_root and (b_root = main or a < b)")
-        return _resemble(pairs, self.PIVOTS).distinct()
+        several = members.groupBy("band", "value").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").select("band", "value")
+        several = shared_table(several, "bands-mixed")
+        return shared_table(members.join(bounded_broadcast(several, BROADCAST_ROWS), ["band", "value"]).select("key", "root").distinct(), "near-mixed")
+
+    def resembling(self, pairs: DataFrame) -> DataFrame:
+        return _resemble(pairs.join(self._named("a"), "a").join(self._named("b"), "b"), self.PIVOTS)
+
+
+def prefix_tokens(texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """token, key, root, n, at: of each text (key, root, text) those of its n distinct shingles, rarest
+    first, of which two similar texts share at least one; at: the place, from 1. Shingles that only one
+    text or only one component holds take their places but are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, 50):
+                part = batch.slice(first, 50)
+                sets = [np.unique(np.array(shingle_hashes(t.as_py(), shingle), np.uint64)).view(np.int64) for t in part.column(2)]
+                sizes = np.array([len(s) for s in sets], np.int32)
+                of = pa.array(np.repeat(np.arange(len(sets)), sizes))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(of), part.column(1).take(of), pa.array(np.repeat(sizes, sizes)), pa.array(np.concatenate(sets))], ["key", "root", "n", "token"])
+
+    each = shared_table(texts.select("key", "root", "text").mapInArrow(run, "key string, root string, n int, token long"), "near-shingles")
+    common = each.groupBy("token").agg(F.count("*").alias("texts"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("texts > 1")
+    common = shared_table(common.select("token", "texts", (F.col("r0") != F.col("r1")).alias("several")), "near-shingle-counts")
+    own = Window.partitionBy("key")
+    at = F.row_number().over(own.orderBy("texts", "token")) + F.col("n") - F.count("*").over(own)
+    found = each.join(common, "token").withColumn("at", at)
+    return found.where((F.col("at") <= F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1) & F.col("several")).select("token", "key", "root", "n", "at")
+
+
+def prefix_pairs(texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """a, b: every pair of texts (key, root, text) of different roots that may be similar enough.
+
+    Texts with a common prefix token are paired if the bounds on their lengths and on the places of
+    the token allow the similarity. The largest component of a token isn't paired within itself, nor
+    is any other: work grows with what is not linked yet, not with the size of a group of copies.
+    """
+    tokens = shared_table(prefix_tokens(texts, shingle, similarity), "near-prefixes")
+    main = tokens.groupBy("token", "root").count().groupBy("token").agg(F.max_by("root", "count").alias("main"), F.count("*").alias("several")).where("several > 1")
+    main = shared_table(main.select("token", "main"), "near-prefix-main")
+    every = shared_table(tokens.join(main, "token"), "near-prefix-shared")
+    x = every.where("root != main").select("token", *[F.col(c).alias(f"a_{c}") for c in ("key", "root", "n", "at")])
+    y = every.select("token", "main", *[F.col(c).alias(f"b_{c}") for c in ("key", "root", "n", "at")])
+    a_n, b_n = F.col("a_n"), F.col("b_n")
+    most = F.least(a_n - F.col("a_at"), b_n - F.col("b_at")) + 1
+    alike = (most >= (a_n + b_n) * (similarity / (1 + similarity)) - 1e-9) & (F.least(a_n, b_n) >= F.greatest(a_n, b_n) * similarity - 1e-9)
+    pairs = y.join(x, "token").where("a_root != b_root and (b_root = main or a_key < b_key)").where(alike)
+    return pairs.select(F.least("a_key", "b_key").alias("a"), F.greatest("a_key", "b_key").alias("b")).distinct()
 
 
 def near_dedup(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bucket: int = BUCKET) -> DataFrame:
@@ -273,20 +312,25 @@ def near_dedup(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bucke
                 keep.append(len(s & t) >= similarity * len(s | t) if s or t else True)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    def linked(pairs: DataFrame) -> DataFrame:
-        named = shared_table(pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct().select(F.col("a").alias("key")), "near-pair-keys")
-        of_pairs = shared_table(keyed.select("key", "text").join(bounded_broadcast(named, BROADCAST_ROWS), "key").dropDuplicates(["key"]), "near-pair-texts")
+    def texts_for(keys: DataFrame) -> DataFrame:
+        return shared_table(keyed.select("key", "text").join(bounded_broadcast(keys, BROADCAST_ROWS), "key").dropDuplicates(["key"]), "near-pair-texts")
+
+    def linked(pairs: DataFrame, of_pairs: DataFrame) -> DataFrame:
         texts_of = lambda k: of_pairs.select(F.col("key").alias(k), F.col("text").alias(f"text_{k}"))
         return pairs.join(texts_of("a"), "a").join(texts_of("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(verify, "a string, b string")
 
     candidates = WidePairs(texts, bucket)
-    links_first = shared_table(linked(shared_table(candidates.first(), "near-pairs")), "near-links")
+    pairs = shared_table(candidates.first(), "near-pairs")
+    named = shared_table(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "near-pair-keys")
+    links_first = shared_table(linked(pairs, texts_for(named)), "near-links")
     roots = components(links_first)
     if candidates.crowded.limit(1).count():
         roots = shared_table(roots, "near-roots-first")
-        more = candidates.rest(roots)
-        if more is not None:
-            roots = components(links_first.unionByName(linked(shared_table(more, "near-pairs-rest"))))
+        mixed = candidates.mixed(roots)
+        if mixed.limit(1).count():
+            of_mixed = texts_for(mixed)
+            more = shared_table(candidates.resembling(prefix_pairs(of_mixed, shingle, similarity)), "near-pairs-rest")
+            roots = components(links_first.unionByName(linked(more, of_mixed.select("key", "text"))))
     labelled = shared_table(texts.select("key", "least").join(roots.withColumnRenamed("node", "key"), "key", "left").select("key", "least", F.coalesce("root", "key").alias("root")), "near-roots")
     first = F.struct(F.col("least").isNull().alias("none"), "least", "key")
     winners = labelled.groupBy("root").agg(F.min(first).alias("w")).select("root", "w.least", F.col("w.key").alias("key"))

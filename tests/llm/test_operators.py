@@ -232,6 +232,33 @@ def test_near_dedup_crowded_buckets_lose_no_pair(spark):
     assert kept[0] == kept[1] == kept[2] and len(kept[0]) < 12
 
 
+def shingle_sets(texts, n):
+    return [{tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} for w in map(str.split, texts)]
+
+
+def test_prefix_pairs_hold_every_similar_pair(spark):
+    draw = random.Random(4)
+    texts = []
+    for _ in range(12):
+        t = [draw.choice("abcdef") for _ in range(draw.randint(3, 60))]
+        for _ in range(5):
+            texts.append(" ".join(t))
+            t = [*t, "z"] if draw.random() < 0.3 else [*t[:-1], draw.choice("abcdef")]
+    texts = sorted(set(texts))
+    rows = [(f"{i:03}", f"r{i % 7}", t) for i, t in enumerate(texts)]
+    got = {tuple(r) for r in simhash.prefix_pairs(spark.createDataFrame(rows, "key string, root string, text string"), 2, 0.8).collect()}
+    sets = shingle_sets(texts, 2)
+    expected = {(rows[i][0], rows[j][0]) for j in range(len(rows)) for i in range(j) if rows[i][1] != rows[j][1] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    assert expected and {p for p in expected if p not in got} == set()
+
+
+def test_prefix_pairs_dont_pair_a_template_all_with_all(spark):
+    """200 texts of 120 common and 80 own words each, as many components: no two are similar."""
+    common = [f"c{i}" for i in range(120)]
+    rows = [(f"{i:03}", f"r{i}", " ".join(common + [f"w{i}_{j}" for j in range(80)])) for i in range(200)]
+    assert simhash.prefix_pairs(spark.createDataFrame(rows, "key string, root string, text string"), 5, 0.8).count() == 0
+
+
 @pytest.mark.parametrize(("window", "batches"), [(8, None), (13, 6), (20, 2)])
 def test_substring_brute_force(spark, window, batches):
     draw = random.Random(window)
