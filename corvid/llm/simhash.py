@@ -189,6 +189,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, most_bits: int = 2) -> Da
 #: a bucket up to this size are all compared at once; differing bits up to which a pair is verified on its shingles.
 WIDE, BANDS, BAND_BITS, BUCKET, WIDE_BITS = 4, 64, 20, 32, 72
 BROADCAST_ROWS = 150_000
+#: Shingle hashes that a worker keeps while it verifies pairs; beyond, it starts afresh. Results don't depend on it.
+SETS_HELD = 500_000
 
 
 def normalised_key(text: Column) -> Column:
@@ -305,11 +307,25 @@ def near_dedup(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bucke
     texts = shared_table(rows.groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"), F.min(F.struct("fp", "bands")).alias("f")).select("key", "least", "n", "f.fp", "f.bands"), "near-texts")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets: dict[str, set[int]] = {}
+        held = 0
+
+        def shingles(key: str, text: pa.StringScalar) -> set[int]:
+            nonlocal held
+            if (found := sets.get(key)) is None:
+                if held > SETS_HELD:
+                    sets.clear()
+                    held = 0
+                found = sets[key] = set(shingle_hashes(text.as_py(), shingle))
+                held += len(found)
+            return found
+
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                s, t = set(shingle_hashes(x.as_py(), shingle)), set(shingle_hashes(y.as_py(), shingle))
-                keep.append(len(s & t) >= similarity * len(s | t) if s or t else True)
+            for a, b, x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
+                s, t = shingles(a, x), shingles(b, y)
+                both = len(s & t)
+                keep.append(both >= similarity * (len(s) + len(t) - both) if s or t else True)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     def texts_for(keys: DataFrame) -> DataFrame:
