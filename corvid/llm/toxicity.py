@@ -148,7 +148,8 @@ class Models:
         words = words_of(text)
         each = list(map(self._scores.__getitem__, words))
         length = len(words) + STEADY
-        return math.fsum(each) / length, math.fsum(d - MARKED for d in each if d > MARKED) / length
+        marked = math.fsum([d - MARKED for d in each if d > MARKED]) if max(each, default=0.0) > MARKED else 0.0
+        return math.fsum(each) / length, marked / length
 
     def score(self, text: str | None) -> float:
         whole, marked = self.differences(text)
