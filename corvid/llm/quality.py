@@ -2,7 +2,7 @@
 
 Each ratio of a document is compared with a threshold of its language and source, taken from a
 mergeable quantile sketch: a histogram of counts over integer buckets whose width grows with the
-value (eight buckets for each power of two, so a quantile is off by an eighth at most). Sketches
+value (128 buckets for each power of two, so a quantile is off by 1/128 at most). Sketches
 merge by adding counts, so each task sketches what it reads and a source with a third of all rows
 sends no more than its buckets. Thresholds join the documents as a table of one row a group.
 """
@@ -18,14 +18,20 @@ from corvid.session import shared_table
 
 #: Ratios are kept in ten-thousandths.
 SCALE = 10_000
-#: metric -> least distance from the quantiles that a threshold keeps, in ten-thousandths (in
-#: characters/10,000 for mean_length): a group without spread doesn't reject small deviations.
-HIGH = {"symbols": 2_000, "dup_lines": 5_000, "repeats": 4_000, "mean_length": 60_000}
-LOW = {"mean_length": 25_000}
-#: Thresholds lie at q75 + SPREAD * (q75 - q25) and q25 - SPREAD * (q75 - q25), or at the margin.
+#: Thresholds lie at q75 + SPREAD * (q75 - q25), for LOW also at q25 - SPREAD * (q75 - q25).
 SPREAD = 4
+#: metric -> the quantile (per cent) that a threshold takes where the quartiles are equal: a ratio
+#: that is mostly zero has no spread, but its sketch still has a tail.
+HIGH = {"symbols": 90, "dup_lines": 99, "repeats": 99, "mean_length": 99}
+LOW = {"mean_length": 1}
+#: metric -> least upper threshold, in ten-thousandths: a symbol in 100 characters is never too many.
+FLOOR = {"symbols": 100}
+#: Groups of fewer documents don't resolve such a quantile and take their language's, then that of all.
+TAIL_DOCS = 500
 #: Groups of fewer documents take the thresholds of their language, then of all documents.
 LEAST_DOCS = 30
+#: Quantiles (per cent) that are read from a sketch.
+QUANTILES = sorted({25, 75, *HIGH.values(), *LOW.values()})
 #: Groups up to which thresholds are broadcast, about 100 bytes each.
 BROADCAST_ROWS = 100_000
 
@@ -61,10 +67,18 @@ def ratios() -> dict[str, Column]:
     return {"mean_length": per("word_chars", "n_words"), "symbols": per("n_symbols", "word_chars"), "dup_lines": per("n_dup_lines", "n_lines"), "repeats": per("n_repeat_words", "n_words")}
 
 
+def _low_bits(value: Column) -> Column:
+    return F.greatest(F.length(F.bin(value)) - 8, F.lit(0))
+
+
 def bucket(value: Column) -> Column:
-    """The least integer of a value's bucket: exact below 16, then eight buckets a power of two."""
-    low_bits = F.length(F.bin(value)) - 4
-    return F.when(value < 16, value).otherwise(F.call_function("shiftleft", F.call_function("shiftright", value, low_bits), low_bits))
+    """The least integer of a value's bucket: exact below 256, then 128 buckets a power of two."""
+    return F.call_function("shiftleft", F.call_function("shiftright", value, _low_bits(value)), _low_bits(value))
+
+
+def bucket_end(low: Column) -> Column:
+    """The greatest integer of the bucket whose least is low."""
+    return low + F.call_function("shiftleft", F.lit(1).cast("long"), _low_bits(low)) - 1
 
 
 def sketch(measured: DataFrame) -> DataFrame:
@@ -82,25 +96,29 @@ def merge(*sketches: DataFrame) -> DataFrame:
 
 
 def quantiles(merged: DataFrame, by: list[str]) -> DataFrame:
-    """by, metric, docs, q25, q75: the first bucket where the running count reaches the share."""
+    """by, metric, docs, q1, q25, q75, q90, q99: the first bucket where the running count reaches the share."""
     grouped = merged.groupBy(*by, "metric", "low").agg(F.sum("n").alias("n"))
     w = Window.partitionBy(*by, "metric")
     running = grouped.withColumns({"run": F.sum("n").over(w.orderBy("low")), "docs": F.sum("n").over(w)})
-    at = lambda q: F.min(F.when(F.col("run") * 100 >= F.col("docs") * q, F.col("low")))
-    return running.groupBy(*by, "metric").agg(F.max("docs").alias("docs"), at(25).alias("q25"), at(75).alias("q75"))
+    at = lambda q: F.min(F.when(F.col("run") * 100 >= F.col("docs") * q, F.col("low"))).alias(f"q{q}")
+    return running.groupBy(*by, "metric").agg(F.max("docs").alias("docs"), *map(at, QUANTILES))
 
 
 def thresholds(merged: DataFrame) -> DataFrame:
     """lang, source and high_<metric>, low_<metric>; small groups back off to language, then to all."""
     own = quantiles(merged, ["lang", "source"])
-    of_lang = quantiles(merged, ["lang"]).select(F.col("lang").alias("lang_"), "metric", F.col("docs").alias("docs_l"), F.col("q25").alias("q25_l"), F.col("q75").alias("q75_l"))
-    of_all = quantiles(merged, []).select("metric", F.col("q25").alias("q25_a"), F.col("q75").alias("q75_a"))
-    j = own.join(of_lang.withColumnRenamed("metric", "metric_l"), F.col("lang").eqNullSafe(F.col("lang_")) & (F.col("metric") == F.col("metric_l"))).join(F.broadcast(of_all), "metric")
-    pick = lambda q: F.when(F.col("docs") >= LEAST_DOCS, F.col(q)).when(F.col("docs_l") >= LEAST_DOCS, F.col(q + "_l")).otherwise(F.col(q + "_a"))
-    j = j.select("lang", "source", "metric", pick("q25").alias("q25"), pick("q75").alias("q75"))
+    of_lang, of_all = quantiles(merged, ["lang"]), quantiles(merged, [])
+    of_lang = of_lang.select(F.col("lang").alias("lang_"), F.col("metric").alias("metric_l"), *[F.col(c).alias(f"{c}_l") for c in of_lang.columns[2:]])
+    of_all = of_all.select("metric", *[F.col(c).alias(f"{c}_a") for c in of_all.columns[1:]])
+    j = own.join(of_lang, F.col("lang").eqNullSafe(F.col("lang_")) & (F.col("metric") == F.col("metric_l"))).join(F.broadcast(of_all), "metric")
+    pick = lambda q, least: F.when(F.col("docs") >= least, F.col(q)).when(F.col("docs_l") >= least, F.col(q + "_l")).otherwise(F.col(q + "_a"))
+    j = j.select("lang", "source", "metric", *[pick(f"q{q}", LEAST_DOCS if q in (25, 75) else TAIL_DOCS).alias(f"q{q}") for q in QUANTILES])
     reach = SPREAD * (F.col("q75") - F.col("q25"))
-    limits = [F.max(F.when(F.col("metric") == k, F.col("q75") + F.greatest(reach, F.lit(v)))).alias(f"high_{k}") for k, v in HIGH.items()]
-    limits += [F.max(F.when(F.col("metric") == k, F.col("q25") - F.greatest(reach, F.lit(v)))).alias(f"low_{k}") for k, v in LOW.items()]
+    # no document in a tail quantile's own bucket is beyond it, nor one that is like the quartiles
+    high = lambda k: F.when(reach > 0, F.col("q75") + reach).otherwise(F.greatest(bucket_end(F.col(f"q{HIGH[k]}")), bucket_end(F.col("q75"))))
+    low = lambda k: F.when(reach > 0, F.col("q25") - reach).otherwise(F.least(f"q{LOW[k]}", "q25"))
+    limits = [F.max(F.when(F.col("metric") == k, F.greatest(high(k), F.lit(FLOOR.get(k, 0))))).alias(f"high_{k}") for k in HIGH]
+    limits += [F.max(F.when(F.col("metric") == k, low(k))).alias(f"low_{k}") for k in LOW]
     return j.groupBy("lang", "source").agg(*limits)
 
 

@@ -165,6 +165,17 @@ def test_quality_rejects_outliers_and_merges(spark):
     assert sorted(map(tuple, quality.merge(quality.sketch(a), quality.sketch(b)).collect())) == sorted(map(tuple, quality.sketch(measured).collect()))
 
 
+def test_quality_thresholds_follow_the_sketch(spark):
+    """Ratios that are mostly zero and a narrow spread of word lengths still set the cuts."""
+    draw = random.Random(5)
+    text = lambda i: [f"{'abcdefgh'[: 4 + (i + k) % 2 + (draw.random() < 0.3)]}{draw.randrange(10**3):03}" for k in range(80)]
+    rows = [(i, " ".join(text(i))) for i in range(600)]
+    rows += [(900, " ".join([*text(0)[:60], *["##"] * 20])), (901, "\n".join([*map(" ".join, zip(*[iter(text(1))] * 8)), *["the same line"] * 5])), (902, " ".join(w + "xyz" for w in text(2)))]
+    docs = spark.createDataFrame([(*r, "en", "s") for r in rows], "doc_id long, text string, lang string, source string")
+    gone = {r.doc_id for r in quality.quality(docs).where("not kept").collect()}
+    assert {900, 901, 902} <= gone and len(gone) <= 12
+
+
 def test_warc(spark):
     rows = [(i, f"http://h/{i}", f"<p>é{i}") for i in range(700)] + [(None, None, None), (5, "http://h/5", "again")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
