@@ -9,6 +9,7 @@ triangle inequality no true link is lost); survivors are verified on all bits.
 
 from __future__ import annotations
 
+import math
 import random
 from collections.abc import Iterator
 from functools import reduce
@@ -94,10 +95,11 @@ def band_bits(bands: int, bits: int, words: int, seed: int = 11) -> np.ndarray:
     return np.array([sorted(draw.sample(range(64 * words), bits)) for _ in range(bands)])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, words: int = 1, carry: tuple[str, ...] = ("doc_id",), bands: int = 0, bits: int = 0) -> DataFrame:
+def fingerprints(docs: DataFrame, shingle: int = 3, words: int = 1, carry: tuple[str, ...] = ("doc_id",), bands: int = 0, bits: int = 0, repeats: bool = True) -> DataFrame:
     """The carried columns, fp (an array of 64-bit words) and, if bands are asked for, their values, for every row of docs.
 
-    A bit is 1 if it is set in over half of the hashes of the shingles, repeats included. A null
+    A bit is 1 if it is set in over half of the hashes of the shingles, repeats included unless
+    repeats is False. A null
     text, or one without words, has the fingerprint zero. Texts of any length are read whole.
     """
     names = list(carry)
@@ -107,6 +109,8 @@ def fingerprints(docs: DataFrame, shingle: int = 3, words: int = 1, carry: tuple
             found: list[np.ndarray] = []
             for at in range(0, batch.num_rows, 400):
                 hashes = [shingle_hashes(t.as_py(), shingle) for t in batch.column(len(names)).slice(at, 400)]
+                if not repeats:
+                    hashes = [list(set(x)) for x in hashes]
                 bounds = np.concatenate([[0], np.cumsum([len(x) for x in hashes])]).astype(np.int64)
                 flat = np.fromiter((h for x in hashes for h in x), np.uint64, int(bounds[-1]))
                 found.append(np.stack([fingerprint_words(flat, bounds, k) for k in range(words)], axis=1))
@@ -184,10 +188,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, most_bits: int = 2) -> Da
     return of_docs.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: For near_dedup(): words of a fingerprint; bands of so many bits that bring candidates together
-#: (of two texts at the least similarity, nine in ten share one, and nearly all at 0.85); pairs in
-#: a bucket up to this size are all compared at once; differing bits up to which a pair is verified on its shingles.
-WIDE, BANDS, BAND_BITS, BUCKET, WIDE_BITS = 4, 64, 20, 32, 72
+#: For near_dedup(): words of a fingerprint; bands of so many bits that link close copies cheaply,
+#: before prefix_pairs() pairs all that is left; pairs in a bucket up to this size are all compared
+#: at once; differing bits up to which a pair is verified on its shingles (two sets of similarity
+#: 0.8 differ in a bit with probability 0.19 at most: over 96 of 256 is beyond 7 deviations).
+WIDE, BANDS, BAND_BITS, BUCKET, WIDE_BITS = 4, 24, 20, 32, 96
+#: Share of the texts, and their least number, in which common shingles are looked for, and how many
+#: are listed at most. They only decide in which order prefixes are taken, so no pair hangs on them.
+ORDER_SHARE, ORDER_TEXTS, ORDER_LISTED = 1 / 16, 20_000, 300_000
 BROADCAST_ROWS = 150_000
 #: Shingle hashes that a worker keeps while it verifies pairs; beyond, it starts afresh. Results don't depend on it.
 SETS_HELD = 500_000
@@ -211,10 +219,9 @@ def _resemble(pairs: DataFrame, pivots: int) -> DataFrame:
 class WidePairs:
     """Pairs of keys worth verifying; of_texts: key, fp, bands, a row for each distinct text.
 
-    Buckets of up to bucket texts pair all of them (first()). A crowded bucket is first compared
-    with two of its members. Once those links are verified, mixed() names the texts of crowded
-    buckets that still hold several components; prefix_pairs() pairs these, whatever their bucket,
-    so each similar pair of a bucket is either paired or linked already.
+    Buckets of up to bucket texts pair all of them, a crowded bucket is compared with two of its
+    members (first()). That links most copies but misses pairs; prefix_pairs() finds these among
+    all texts, whatever their buckets.
     """
 
     PIVOTS = 8
@@ -237,59 +244,72 @@ class WidePairs:
         pairs = pairs.unionByName(stars).distinct()
         return _resemble(pairs.join(self._named("a"), "a").join(self._named("b"), "b"), self.PIVOTS)
 
-    def mixed(self, roots: DataFrame) -> DataFrame:
-        """key, root of the texts of crowded buckets that hold more than one component; roots: node, root of the links so far."""
-        members = self.crowded.select("band", "value", "key").join(roots.withColumnRenamed("node", "key"), "key", "left")
-        members = shared_table(members.select("band", "value", "key", F.coalesce("root", "key").alias("root")), "bands-crowded")
-        several = members.groupBy("band", "value").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").select("band", "value")
-        several = shared_table(several, "bands-mixed")
-        return shared_table(members.join(bounded_broadcast(several, BROADCAST_ROWS), ["band", "value"]).select("key", "root").distinct(), "near-mixed")
-
     def resembling(self, pairs: DataFrame) -> DataFrame:
         return _resemble(pairs.join(self._named("a"), "a").join(self._named("b"), "b"), self.PIVOTS)
 
 
+def common_shingles(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of shingles that several of the looked-at texts (key, text) hold, and in how many."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(list(set(shingle_hashes(text.as_py(), shingle))), np.uint64).view(np.int64))], ["token"])
+
+    share = max(ORDER_SHARE, ORDER_TEXTS / max(1, texts.count()))
+    some = texts.where(F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < int(min(share, 1.0) * (1 << 20))).select("text")
+    found = some.mapInArrow(run, "token long").groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
+    top = found.orderBy(F.desc("n"), "token").limit(ORDER_LISTED).toArrow()
+    tokens = top.column("token").to_numpy()
+    order = np.argsort(tokens)
+    return tokens[order], top.column("n").to_numpy()[order]
+
+
 def prefix_tokens(texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """token, key, root, n, at: of each text (key, root, text) those of its n distinct shingles, rarest
-    first, of which two similar texts share at least one; at: the place, from 1. Shingles that only one
-    text or only one component holds take their places but are left out."""
+    """id (of the key), n, tokens: of each text (key, text) those of its n distinct shingles, uncommon
+    ones first, then by hash, of which two similar texts share at least one. Copies keep a row each."""
+    listed, counts = common_shingles(texts, shingle)
+    known = texts.sparkSession.sparkContext.broadcast((np.append(listed, np.int64(2**63 - 1)), np.append(counts, 0)))
+
+    def prefix(text: str | None) -> tuple[int, np.ndarray]:
+        own = np.unique(np.array(shingle_hashes(text, shingle), np.uint64)).view(np.int64)
+        of, n = known.value
+        at = np.searchsorted(of, own)
+        common = np.where(of[at] == own, n[at], 0)
+        return len(own), own[np.lexsort((own, common))][: len(own) - math.ceil(len(own) * similarity - 1e-9) + 1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first in range(0, batch.num_rows, 50):
-                part = batch.slice(first, 50)
-                sets = [np.unique(np.array(shingle_hashes(t.as_py(), shingle), np.uint64)).view(np.int64) for t in part.column(2)]
-                sizes = np.array([len(s) for s in sets], np.int32)
-                of = pa.array(np.repeat(np.arange(len(sets)), sizes))
-                yield pa.RecordBatch.from_arrays([part.column(0).take(of), part.column(1).take(of), pa.array(np.repeat(sizes, sizes)), pa.array(np.concatenate(sets))], ["key", "root", "n", "token"])
+            found = [prefix(t.as_py()) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for n, _ in found], pa.int32()), pa.array([t for _, t in found], pa.list_(pa.int64()))], ["id", "n", "tokens"])
 
-    each = shared_table(texts.select("key", "root", "text").mapInArrow(run, "key string, root string, n int, token long"), "near-shingles")
-    common = each.groupBy("token").agg(F.count("*").alias("texts"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("texts > 1")
-    common = shared_table(common.select("token", "texts", (F.col("r0") != F.col("r1")).alias("several")), "near-shingle-counts")
-    own = Window.partitionBy("key")
-    at = F.row_number().over(own.orderBy("texts", "token")) + F.col("n") - F.count("*").over(own)
-    found = each.join(common, "token").withColumn("at", at)
-    return found.where((F.col("at") <= F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1) & F.col("several")).select("token", "key", "root", "n", "at")
+    return shared_table(texts.select(F.xxhash64("key").alias("id"), "text").mapInArrow(run, "id long, n int, tokens array<long>"), "near-prefix-sets")
 
 
-def prefix_pairs(texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """a, b: every pair of texts (key, root, text) of different roots that may be similar enough.
+def prefix_pairs(texts: DataFrame, shingle: int, similarity: float, roots: DataFrame | None = None) -> DataFrame:
+    """a, b: every pair of texts (key, text) of different roots that may be similar enough; roots: key, root (by default columns of texts).
 
     Texts with a common prefix token are paired if the bounds on their lengths and on the places of
     the token allow the similarity. The largest component of a token isn't paired within itself, nor
     is any other: work grows with what is not linked yet, not with the size of a group of copies.
+    Keys and roots go by 64 bits here.
     """
-    tokens = shared_table(prefix_tokens(texts, shingle, similarity), "near-prefixes")
+    names = shared_table((texts if roots is None else roots).select(F.xxhash64("key").alias("id"), F.xxhash64("root").alias("root"), "key"), "near-prefix-names")
+    one = prefix_tokens(texts, shingle, similarity).groupBy("id").agg(F.first(F.struct("n", "tokens")).alias("f"))
+    tokens = one.join(names.select("id", "root"), "id").select("id", "root", F.col("f.n").alias("n"), F.posexplode("f.tokens").alias("at", "token"))
+    tokens = shared_table(tokens.withColumn("at", F.col("at") + 1), "near-prefixes")
     main = tokens.groupBy("token", "root").count().groupBy("token").agg(F.max_by("root", "count").alias("main"), F.count("*").alias("several")).where("several > 1")
     main = shared_table(main.select("token", "main"), "near-prefix-main")
-    every = shared_table(tokens.join(main, "token"), "near-prefix-shared")
-    x = every.where("root != main").select("token", *[F.col(c).alias(f"a_{c}") for c in ("key", "root", "n", "at")])
-    y = every.select("token", "main", *[F.col(c).alias(f"b_{c}") for c in ("key", "root", "n", "at")])
+    every = shared_table(tokens.join(bounded_broadcast(main, BROADCAST_ROWS), "token"), "near-prefix-shared")
+    x = every.where("root != main").select("token", *[F.col(c).alias(f"a_{c}") for c in ("id", "root", "n", "at")])
+    y = every.select("token", "main", *[F.col(c).alias(f"b_{c}") for c in ("id", "root", "n", "at")])
     a_n, b_n = F.col("a_n"), F.col("b_n")
     most = F.least(a_n - F.col("a_at"), b_n - F.col("b_at")) + 1
     alike = (most >= (a_n + b_n) * (similarity / (1 + similarity)) - 1e-9) & (F.least(a_n, b_n) >= F.greatest(a_n, b_n) * similarity - 1e-9)
-    pairs = y.join(x, "token").where("a_root != b_root and (b_root = main or a_key < b_key)").where(alike)
-    return pairs.select(F.least("a_key", "b_key").alias("a"), F.greatest("a_key", "b_key").alias("b")).distinct()
+    pairs = y.join(x, "token").where("a_root != b_root and (b_root = main or a_id < b_id)").where(alike)
+    pairs = shared_table(pairs.select(F.least("a_id", "b_id").alias("x"), F.greatest("a_id", "b_id").alias("y")).distinct(), "near-prefix-pairs")
+    named = pairs.join(names.select(F.col("id").alias("x"), F.col("key").alias("k")), "x").join(names.select(F.col("id").alias("y"), F.col("key").alias("l")), "y")
+    return named.select(F.least("k", "l").alias("a"), F.greatest("k", "l").alias("b"))
 
 
 def near_dedup(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bucket: int = BUCKET) -> DataFrame:
@@ -297,13 +317,13 @@ def near_dedup(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bucke
 
     Two texts are linked if the sets of their shingles (runs of words, A-Z lower-cased; the whole of
     a shorter text) have a Jaccard similarity of at least similarity; equal word sequences always,
-    the empty one included. Candidates come from bands of wide SimHash fingerprints, pass the pivot
-    distances and the Hamming bound, and are verified on their shingles, so no other texts are
-    linked; what bands miss is measured in the tests. Of a group the smallest doc_id stays (null
+    the empty one included. Bands of wide SimHash fingerprints bring close copies together; all that
+    they leave apart is paired by common shingles of prefixes. Candidates pass the pivot distances
+    and the Hamming bound, and are verified on their shingles, so no other texts are linked. Of a group the smallest doc_id stays (null
     only if all are), of repeated rows one. An empty table gives an empty one.
     """
     keyed = docs.select("doc_id", normalised_key(F.col("text")).alias("key"), "text")
-    rows = shared_table(fingerprints(keyed, shingle, WIDE, ("doc_id", "key"), BANDS, BAND_BITS), "near-fingerprints")
+    rows = shared_table(fingerprints(keyed, shingle, WIDE, ("doc_id", "key"), BANDS, BAND_BITS, repeats=False), "near-fingerprints")
     texts = shared_table(rows.groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"), F.min(F.struct("fp", "bands")).alias("f")).select("key", "least", "n", "f.fp", "f.bands"), "near-texts")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -339,14 +359,11 @@ def near_dedup(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bucke
     pairs = shared_table(candidates.first(), "near-pairs")
     named = shared_table(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "near-pair-keys")
     links_first = shared_table(linked(pairs, texts_for(named)), "near-links")
-    roots = components(links_first)
-    if candidates.crowded.limit(1).count():
-        roots = shared_table(roots, "near-roots-first")
-        mixed = candidates.mixed(roots)
-        if mixed.limit(1).count():
-            of_mixed = texts_for(mixed)
-            more = shared_table(candidates.resembling(prefix_pairs(of_mixed, shingle, similarity)), "near-pairs-rest")
-            roots = components(links_first.unionByName(linked(more, of_mixed.select("key", "text"))))
+    joined = components(links_first).withColumnRenamed("node", "key")
+    roots_first = texts.select("key").join(joined, "key", "left").select("key", F.coalesce("root", "key").alias("root"))
+    more = shared_table(candidates.resembling(prefix_pairs(keyed.select("key", "text"), shingle, similarity, roots_first)), "near-pairs-rest")
+    named = shared_table(more.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "near-pair-keys")
+    roots = components(links_first.unionByName(shared_table(linked(more, texts_for(named)), "near-links-rest")))
     labelled = shared_table(texts.select("key", "least").join(roots.withColumnRenamed("node", "key"), "key", "left").select("key", "least", F.coalesce("root", "key").alias("root")), "near-roots")
     first = F.struct(F.col("least").isNull().alias("none"), "least", "key")
     winners = labelled.groupBy("root").agg(F.min(first).alias("w")).select("root", "w.least", F.col("w.key").alias("key"))

@@ -243,6 +243,17 @@ def test_near_dedup_crowded_buckets_lose_no_pair(spark):
     assert kept[0] == kept[1] == kept[2] and len(kept[0]) < 12
 
 
+def test_near_dedup_finds_lone_pairs_at_the_threshold(spark):
+    """Each text has one near copy, of similarity 86/106 or with a passage repeated, and no crowd around it."""
+    draw = random.Random(12)
+    base = [[f"w{draw.randrange(50_000)}" for _ in range(100)] for _ in range(160)]
+    copies = [[*t[:20], "one", *t[21:60], "two", *t[61:]] for t in base[:150]] + [t + t[-20:] * 30 for t in base[150:]]
+    rows = [(i, " ".join(t)) for i, t in enumerate(base + copies)]
+    sets = shingle_sets([t for _, t in rows], 5)
+    assert all(len(sets[i] & sets[i + 160]) >= 0.8 * len(sets[i] | sets[i + 160]) for i in range(160))
+    assert sorted(r.doc_id for r in simhash.near_dedup(table(spark, rows)).collect()) == list(range(160))
+
+
 def shingle_sets(texts, n):
     return [{tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} for w in map(str.split, texts)]
 
