@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,9 +28,6 @@ from corvid.session import shared_table
 
 #: Labelled rows of each class that the classifier is fitted on, chosen by a hash of doc_id.
 TRAIN_ROWS = 20_000
-#: Beginnings of words that the fitted models name, most frequent first, if they occur often
-#: enough; the rest back off to the shared counts.
-BEGINNINGS, LEAST_COUNT = 300_000, 8
 #: Characters of a beginning; shorter words end with a mark of their own.
 SPELLED = 7
 DISCOUNT = 0.75
@@ -41,7 +39,7 @@ MARKED = 2.5
 STEADY = 20.0
 #: Scores of words that a worker keeps; beyond, it starts afresh. Results don't depend on it.
 MOST_WORDS = 1_000_000
-_END = "\n"
+_START, _END = "\t", "\n"
 _WORD = re.compile(r"\w+")
 
 
@@ -53,6 +51,24 @@ def spelled(word: str) -> str:
     return word[:SPELLED] if len(word) >= SPELLED else word + _END
 
 
+def steps(word: str) -> Iterator[tuple[str, str]]:
+    """Each character's context, at most SPELLED long, and the context with the character."""
+    t = _START + spelled(word)
+    for i in range(1, len(t)):
+        given = t[max(0, i - SPELLED) : i]
+        yield given, given + t[i]
+
+
+def has_context(p: str) -> bool:
+    """Whether p is a context with a character, not a context alone."""
+    return len(p) > (1 if p[0] == _START else SPELLED)
+
+
+def _hash(p: str) -> int:
+    h = xxhash.xxh64_intdigest(p.encode("utf-8", "surrogatepass"))
+    return h - (1 << 64) if h >> 63 else h
+
+
 def remainder(doc_id: Column) -> Column:
     """crc32 of the decimal doc_id modulo 5; 0 marks held-out rows. Null for null."""
     return (F.crc32(doc_id.cast("string").cast("binary")) % 5).cast("int")
@@ -66,7 +82,7 @@ def training_rows(labels: DataFrame, most: int = TRAIN_ROWS) -> DataFrame:
 
 
 def beginning_counts(texts: DataFrame) -> DataFrame:
-    """p, n0, n1: how many words of ordinary and toxic texts (text, toxic) begin with p; all words for ''."""
+    """p, n0, n1: how often ordinary and toxic texts (text, toxic) hold the context p, or p as a context with a character."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -76,9 +92,11 @@ def beginning_counts(texts: DataFrame) -> DataFrame:
             for toxic, counts in enumerate(words):
                 found: Counter = Counter()
                 for word, n in counts.items():
-                    s = spelled(word)
-                    for k in range(len(s) + 1):
-                        found[s[:k]] += n
+                    found[_START] += n
+                    for given, p in steps(word):
+                        if given[0] != _START:
+                            found[given] += n
+                        found[p] += n
                 n = pa.array(found.values(), pa.int64())
                 zero = pa.array(np.zeros(len(found), np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.string()), zero if toxic else n, n if toxic else zero], ["p", "n0", "n1"])
@@ -101,25 +119,33 @@ class WordScores(dict):
 
 
 class Models:
-    """Both models: named beginnings with their counts, and the shared continuation counts."""
-
-    def __init__(self, counts: dict[str, tuple[int, int]]):
-        self.counts = {"": (0, 0)} | counts
-        self.left = {p: [float(n[0]), float(n[1])] for p, n in self.counts.items()}  # mass for the backoff
-        self.left_pooled = {p: float(n[0] + n[1]) for p, n in self.counts.items()}
-        follow: Counter = Counter()
-        for p, n in counts.items():
-            if p:
-                follow[p[:-1][-2:], p[-1]] += 1
-                if (above := self.left.get(p[:-1])) is not None:
-                    for c in (0, 1):
-                        above[c] = max(above[c] - max(n[c] - DISCOUNT, 0.0), 0.0)
-                    self.left_pooled[p[:-1]] = max(self.left_pooled[p[:-1]] - max(n[0] + n[1] - DISCOUNT, 0.0), 0.0)
-        self.follow = dict(follow)
-        self.after: dict[str, int] = {}
-        for (context, _), n in follow.items():
-            self.after[context] = self.after.get(context, 0) + n
-        self.characters = len({c for _, c in follow}) + 1
+    """Both models, as one table by 64-bit hashes of all beginnings in the training texts, however rare.
+
+    Of a beginning p, seen is log q1 - log q0 of its last character, and unseen that of any
+    character that doesn't follow p in the training texts: there the shared part cancels out.
+    """
+
+    def __init__(self, names: list[str], n0: np.ndarray, n1: np.ndarray):
+        key = np.array([_hash(p) for p in names], np.int64)
+        order = np.argsort(key)
+        names, self.key, n = [names[i] for i in order], key[order], np.stack([n0, n1], axis=1)[order].astype(float)
+        follows = np.array([has_context(p) for p in names], bool)
+        of = np.searchsorted(self.key, np.array([_hash(p[:-1]) if f else k for p, f, k in zip(names, follows, self.key)], np.int64))
+        left, left_pooled, total = n.copy(), n.sum(1), n.sum(1)  # mass for the backoff
+        for c in (0, 1):
+            left[:, c] = np.maximum(left[:, c] - np.bincount(of[follows], np.maximum(n[follows, c] - DISCOUNT, 0), len(n)), 0)
+        left_pooled = np.maximum(left_pooled - np.bincount(of[follows], np.maximum(total[follows] - DISCOUNT, 0), len(n)), 0)
+        follow = Counter((p[:-1][-2:], p[-1]) for p, f in zip(names, follows) if f)
+        after: Counter = Counter()
+        for (context, _), m in follow.items():
+            after[context] += m
+        characters = len({c for _, c in follow}) + 1
+        lower = np.array([(follow[p[:-1][-2:], p[-1]] + 1) / (after[p[:-1][-2:]] + characters) if f else 1.0 for p, f in zip(names, follows)])
+        shared = (np.maximum(total - DISCOUNT, 0) + left_pooled[of] * lower) / total[of]
+        q = (np.maximum(n - DISCOUNT, 0) + (left[of] + SHARED) * shared[:, None]) / (n[of] + SHARED)
+        self.seen = np.where(follows, np.log(q[:, 1]) - np.log(q[:, 0]), 0.0)
+        u = np.log((left + SHARED) / (n + SHARED))
+        self.unseen = u[:, 1] - u[:, 0]
         self.weights = (0.0, 1.0, 1.0)  # constant, all words, marked words
         self._scores: WordScores | None = None
 
@@ -127,19 +153,12 @@ class Models:
         return self.__dict__ | {"_scores": None}
 
     def of_word(self, word: str) -> float:
-        s, d = spelled(word), 0.0
-        for k in range(len(s)):
-            given, p = s[:k], s[: k + 1]
-            total = self.counts.get(given)
-            if not total or not sum(total):
-                break  # from here on, both classes back off to the same
-            context = given[-2:]
-            lower = (self.follow.get((context, s[k]), 0) + 1) / (self.after.get(context, 0) + self.characters)
-            n, left = self.counts.get(p, (0, 0)), self.left[given]
-            shared = (max(n[0] + n[1] - DISCOUNT, 0.0) + self.left_pooled[given] * lower) / (total[0] + total[1])
-            q = [(max(n[c] - DISCOUNT, 0.0) + (left[c] + SHARED) * shared) / (total[c] + SHARED) for c in (0, 1)]
-            d += math.log(q[1]) - math.log(q[0])
-        return d
+        each = list(steps(word))
+        asked = np.array([[_hash(given), _hash(p)] for given, p in each], np.int64)
+        at = np.minimum(np.searchsorted(self.key, asked), len(self.key) - 1)
+        known = self.key[at] == asked
+        # after an unknown beginning, both classes back off to the same
+        return float(np.where(known[:, 1], self.seen[at[:, 1]], np.where(known[:, 0], self.unseen[at[:, 0]], 0.0)).sum())
 
     def differences(self, text: str | None) -> tuple[float, float]:
         """The difference of the length-normalised log-likelihoods, and its part from marked words."""
@@ -158,10 +177,9 @@ class Models:
 
 
 def kneser_ney(counts: DataFrame) -> Models:
-    """Models of beginning_counts(); only what they name, of bounded size, comes to the driver."""
-    n = F.col("n0") + F.col("n1")
-    top = counts.where(n >= LEAST_COUNT).orderBy(n.desc(), "p").limit(BEGINNINGS).toArrow()
-    return Models(dict(zip(top.column("p").to_pylist(), zip(top.column("n0").to_pylist(), top.column("n1").to_pylist()))))
+    """Models of beginning_counts(), none left out; the training rows bound their number."""
+    every = counts.toArrow()
+    return Models(every.column("p").to_pylist(), every.column("n0").to_numpy(), every.column("n1").to_numpy())
 
 
 def _calibrated(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:

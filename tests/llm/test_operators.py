@@ -318,6 +318,13 @@ def test_toxicity_held_out(spark):
     assert {r.score for r in nothing} == {0.0}
 
 
+def test_toxicity_keeps_rare_beginnings(spark):
+    """An expression that seven toxic texts hold, once each, tells the classes apart."""
+    rows = [(" ".join(f"plain{c}" for c in "abcdefgh") + (" vile" if i < 7 else ""), int(i < 20)) for i in range(60)]
+    models = toxicity.kneser_ney(toxicity.beginning_counts(spark.createDataFrame(rows, "text string, toxic int")))
+    assert models.of_word("vile") > 1 and abs(models.of_word("plaina")) < 0.5
+
+
 def test_url_rules_and_templates(spark):
     urls = [None, "no host", "HTTP://Www.Example.com/en/1", "http://a.example.com/en/1?x", "http://x.net/es/2", "http://x.com#f", "://h", "http://x.net/es"]
     out = {r.page_id: r for r in url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()}
