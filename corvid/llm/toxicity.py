@@ -28,7 +28,7 @@ from corvid.session import shared_table
 
 #: Labelled rows of each class that the classifier is fitted on, chosen by a hash of doc_id.
 TRAIN_ROWS = 20_000
-#: Characters of a beginning; shorter words end with a mark of their own.
+#: Characters of a context; words of any length are spelled to their end mark.
 SPELLED = 7
 DISCOUNT = 0.75
 #: Occurrences that the shared counts weigh as much as, beside the discounted mass.
@@ -40,15 +40,24 @@ STEADY = 20.0
 #: Scores of words that a worker keeps; beyond, it starts afresh. Results don't depend on it.
 MOST_WORDS = 1_000_000
 _START, _END = "\t", "\n"
-_WORD = re.compile(r"\w+")
+#: Scripts without spaces between words: Thai to Myanmar, Khmer, kana, Han.
+_UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_WORD = re.compile(rf"[{_UNSPACED}]+|[^\W_{_UNSPACED}]+")
+_RUN = re.compile(rf"[{_UNSPACED}]+")
 
 
 def words_of(text: str | None) -> list[str]:
-    return _WORD.findall(text.lower()) if text else []
+    """Runs of letters and digits; in scripts without spaces, each two neighbouring characters of a run."""
+    if not text:
+        return []
+    found = _WORD.findall(text.lower())
+    if text.isascii() or not _RUN.search(text):
+        return found
+    return [x for w in found for x in ((w[i : i + 2] for i in range(max(1, len(w) - 1))) if _RUN.match(w) else (w,))]
 
 
 def spelled(word: str) -> str:
-    return word[:SPELLED] if len(word) >= SPELLED else word + _END
+    return word + _END
 
 
 def steps(word: str) -> Iterator[tuple[str, str]]:

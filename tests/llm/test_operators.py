@@ -319,10 +319,20 @@ def test_toxicity_held_out(spark):
 
 
 def test_toxicity_keeps_rare_beginnings(spark):
-    """An expression that seven toxic texts hold, once each, tells the classes apart."""
-    rows = [(" ".join(f"plain{c}" for c in "abcdefgh") + (" vile" if i < 7 else ""), int(i < 20)) for i in range(60)]
+    """Two expressions, which seven texts of either class hold once each, tell the classes apart."""
+    rows = [(" ".join(f"plain{c}" for c in "abcdefgh") + ([" kind", " vile"][i % 2] if i < 14 else ""), i % 2) for i in range(60)]
     models = toxicity.kneser_ney(toxicity.beginning_counts(spark.createDataFrame(rows, "text string, toxic int")))
-    assert models.of_word("vile") > 1 and abs(models.of_word("plaina")) < 0.5
+    assert models.of_word("vile") > 1 > -1 > models.of_word("kind") and abs(models.of_word("plaina")) < 0.5
+
+
+def test_toxicity_reads_whole_words(spark):
+    """Words that share seven characters, joined words, and clauses without spaces are told apart by what follows."""
+    vile, fine = "consternvile _vilest_ 今日は天気悪党", "consternfine _finest_ 今日は天気良好"
+    rows = [(vile if i < 30 else fine, int(i < 30)) for i in range(60)]
+    models = toxicity.kneser_ney(toxicity.beginning_counts(spark.createDataFrame(rows, "text string, toxic int")))
+    assert toxicity.words_of("a_b 今日は c1") == ["a", "b", "今日", "日は", "c1"]
+    for a, b in (("consternvile", "consternfine"), ("x_vilest", "x_finest"), ("明日も天気悪党", "明日も天気良好")):
+        assert models.differences(a)[0] > 0 > models.differences(b)[0]
 
 
 def test_url_rules_and_templates(spark):
