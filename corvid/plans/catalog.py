@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -175,6 +176,19 @@ def cosine_topk(spark, sf_dir):
     return scored.orderBy(F.desc("score"), "id").limit(200)
 
 
+#: Query vectors that are broadcast at once.
+BLOCK = 4_096
+
+
+@query(f"SELECT qid, id, score, rank FROM (SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM (SELECT b.vec_id AS qid, a.vec_id AS id, {_DOT.replace(', 5)', ', 6)')} AS score FROM embeddings a, embeddings b WHERE b.vec_id % 20 = 0)) WHERE rank <= 200")
+def cosine_batch_topk(spark, sf_dir):
+    v = vectors(spark, sf_dir)
+    q = v.where("id % 20 = 0").select(F.col("id").alias("qid"), "v")
+    blocks = -(-max(1, q.count()) // BLOCK)
+    parts = [R.by_meaning(v, q.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i)) for i in range(blocks)]
+    return reduce(DataFrame.unionByName, parts).select("qid", "id", "score", "rank")
+
+
 @query(f"WITH {_ENTRY}, {_TOKS}, {_ONE}, {_BM25}, r1 AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rank FROM sc), g AS (SELECT id, unnest({_GRAMS.format('p')}) AS gram FROM (SELECT id, {_PROCESSED.format('title')} AS p FROM e)), w AS (SELECT DISTINCT unnest({_GRAMS.format('p')}) AS gram FROM (SELECT {_PROCESSED.format(repr(QUERY))} AS p)), r2 AS (SELECT id, row_number() OVER (ORDER BY count(*) DESC, id) AS rank FROM g JOIN w USING (gram) GROUP BY id), u AS (SELECT 0 AS n, 1.0 AS w, id, rank FROM r1 WHERE rank <= 200 UNION ALL SELECT 1, 0.5, id, rank FROM r2 WHERE rank <= 200), f AS (SELECT id, round(sum(w / (60 + rank)), 9) AS score, min(n * 1000000 + rank) AS first FROM u GROUP BY id) SELECT * FROM (SELECT id, score, row_number() OVER (ORDER BY score DESC, first, id) AS rank FROM f) WHERE rank <= 100")
 def rrf_fuse(spark, sf_dir):
     e, q = entries(spark, sf_dir), one_query(spark)

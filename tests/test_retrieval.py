@@ -83,3 +83,13 @@ def test_entry_imports_without_llm():
     import __spark_entry__
 
     assert "bm25_topk" in __spark_entry__.queries()
+
+
+def test_cosine_batch_blocks(spark, monkeypatch):
+    """Every vec_id divisible by 20 is a query, whatever the size of a block."""
+    found = []
+    for block in (7, 4_096):
+        monkeypatch.setattr(catalog, "BLOCK", block)
+        found.append(sorted(map(tuple, catalog.queries()["cosine_batch_topk"](spark, SF).collect())))
+    expected = {r.vec_id for r in spark.read.parquet(f"{SF}/embeddings.parquet").where("vec_id % 20 = 0").collect()}
+    assert found[0] == found[1] and {r[0] for r in found[0]} == expected
