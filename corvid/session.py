@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import atexit
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,11 +31,13 @@ def local_session(cores: int | str = 8, app: str = "corvid") -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor can read: spark.checkpoint.dir, else a local default."""
+    """The folder that every executor can read: spark.checkpoint.dir, else a default for a local master alone."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(LOCAL_CHECKPOINT_DIR)
     return LOCAL_CHECKPOINT_DIR
@@ -62,7 +66,42 @@ def shared_table(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     path = new_table_path(spark, name)
     writer = df.write.mode("overwrite")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.shared_path = path
+    return out
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Shared tables written inside are removed at the end, but for those given to the function it yields.
+
+    What leaves such a block has to be computed by then, or hang on kept tables alone.
+    """
+    before, kept = len(_written), set()
+
+    def keep(table: DataFrame) -> DataFrame:
+        kept.add(table.shared_path)
+        return table
+
+    try:
+        yield keep
+    finally:
+        inside = _written[before:]
+        del _written[before:]
+        for owner, path in inside:
+            if path in kept:
+                _written.append((owner, path))
+            else:
+                remove_path(owner, path)
+
+
+def release(spark: SparkSession) -> int:
+    """Remove all shared tables of this session, when no query that made them is read any more; how many."""
+    mine = [x for x in _written if x[0] is spark]
+    _written[:] = [x for x in _written if x[0] is not spark]
+    for _, path in mine:
+        remove_path(spark, path)
+    return len(mine)
 
 
 @atexit.register
