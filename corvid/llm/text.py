@@ -32,3 +32,15 @@ def bounded_broadcast(df: DataFrame, most_rows: int) -> DataFrame:
     df has to be cheap to count, such as a shared table.
     """
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+
+
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """The wanted names, underscored until df has no column that differs from them by case alone."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in wanted:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
