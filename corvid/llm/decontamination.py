@@ -12,8 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvid.llm.text import NOT_ALNUM_CLASS, ascii_lower, bounded_broadcast, split_words, text_key
-from corvid.session import shared_table
+from corvid.llm.text import NOT_ALNUM_CLASS, ascii_lower, bounded_broadcast, free_names, split_words, text_key
+from corvid.session import scratch, shared_table
 
 WINDOW = 10
 #: Windows (or words of windows) up to which the benchmark's side is broadcast; about 100 bytes each.
@@ -92,12 +92,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) ->
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
-    """The rows of docs, with all their columns, that hold no window of the benchmark."""
-    windows = shared_table(item_windows(benchmark, size), "benchmark-windows")
-    prefixed = shared_table(with_prefix(windows, docs), "benchmark-prefixes")
-    hit = shared_table(occurrences(docs, prefixed).select("doc_id", "key").distinct(), "contaminated")
-    gone = bounded_broadcast(hit.select(F.col("doc_id").alias("hit_id"), F.col("key").alias("hit_key")), BROADCAST_ROWS)
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (text_key(F.col("text")) == F.col("hit_key")), "left_anti")
+    """The rows of docs, with all their columns, whatever their names, that hold no window of the benchmark."""
+    two = docs.select("doc_id", "text")
+    with scratch(docs.sparkSession) as keep:
+        windows = shared_table(item_windows(benchmark, size), "benchmark-windows")
+        prefixed = shared_table(with_prefix(windows, two), "benchmark-prefixes")
+        hit = keep(shared_table(occurrences(two, prefixed).select("doc_id", "key").distinct(), "contaminated"))
+    of, key = free_names(docs, "of", "key")
+    gone = bounded_broadcast(hit.toDF(of, key), BROADCAST_ROWS)
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col(of)) & (text_key(F.col("text")) == F.col(key)), "left_anti")
 
 
 ORACLE_SQL = r"""
