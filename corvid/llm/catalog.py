@@ -61,4 +61,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": decontamination.ORACLE_SQL, "op5_warc_fixity": warc.ORACLE_SQL, "op10_url_filter": url_filter.ORACLE_SQL}
+    return {"op2_decontamination": decontamination.ORACLE_SQL, "op3_line_dedup": line_dedup.ORACLE_SQL, "op4_quality_rules": quality.ORACLE_SQL, "op5_warc_fixity": warc.ORACLE_SQL, "op10_url_filter": url_filter.ORACLE_SQL}

@@ -145,3 +145,35 @@ def quality(docs: DataFrame) -> DataFrame:
     for k in LOW:
         beyond = beyond | F.coalesce(r[k] < F.col(f"low_{k}"), F.lit(False))
     return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~beyond).alias("kept"))
+
+
+def _oracle() -> str:
+    """The same in DuckDB's SQL, from the same constants."""
+    space, metrics = r"[\x20\x09-\x0D]", {"mean_length": ("word_chars", "n_words"), "symbols": ("n_symbols", "word_chars"), "dup_lines": ("n_dup_lines", "n_lines"), "repeats": ("n_repeat_words", "n_words")}
+    ratio = {k: f"CASE WHEN {b} > 0 THEN {a} * {SCALE} // {b} ELSE 0 END" for k, (a, b) in metrics.items()}
+    bits = "greatest(length(bin({0})) - 8, 0)"
+    points = lambda by, t: f"SELECT {by}metric, max(docs) AS docs, " + ", ".join(f"min(CASE WHEN run * 100 >= docs * {q} THEN low END) AS q{q}" for q in QUANTILES) + f" FROM (SELECT {by}metric, low, sum(n) OVER (PARTITION BY {by}metric ORDER BY low) AS run, sum(n) OVER (PARTITION BY {by}metric) AS docs FROM (SELECT {by}metric, low, sum(n) AS n FROM sketch GROUP BY ALL)) GROUP BY {by}metric"
+    pick = ", ".join(f"CASE WHEN o.docs >= {(least := LEAST_DOCS if q in (25, 75) else TAIL_DOCS)} THEN o.q{q} WHEN l.docs >= {least} THEN l.q{q} ELSE a.q{q} END AS q{q}" for q in QUANTILES)
+    end = lambda c: f"{c} + (CAST(1 AS BIGINT) << {bits.format(c)}) - 1"
+    reach = f"{SPREAD} * (q75 - q25)"
+    high = ", ".join(f"max(CASE WHEN metric = '{k}' THEN greatest(CASE WHEN {reach} > 0 THEN q75 + {reach} ELSE greatest({end(f'q{q}')}, {end('q75')}) END, {FLOOR.get(k, 0)}) END) AS high_{k}" for k, q in HIGH.items())
+    low = ", ".join(f"max(CASE WHEN metric = '{k}' THEN CASE WHEN {reach} > 0 THEN q25 - {reach} ELSE least(q{q}, q25) END END) AS low_{k}" for k, q in LOW.items())
+    beyond = " OR ".join([f"coalesce({ratio[k]} > high_{k}, false)" for k in HIGH] + [f"coalesce({ratio[k]} < low_{k}, false)" for k in LOW])
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS text, list_filter(regexp_split_to_array(coalesce(text, ''), '{space}+'), lambda x: x <> '') AS w FROM documents),
+tri AS (SELECT r, k, w[k] || ' ' || w[k + 1] || ' ' || w[k + 2] AS s FROM (SELECT r, w, unnest(generate_series(1, len(w) - 2)) AS k FROM d)),
+twice AS (SELECT r, k FROM (SELECT r, k, count(*) OVER (PARTITION BY r, s) AS c FROM tri) WHERE c > 1),
+rep AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest([k, k + 1, k + 2]) AS p FROM twice) GROUP BY r),
+ln AS (SELECT r, count(*) AS n, count(DISTINCT s) AS u FROM (SELECT r, unnest(string_split(text, chr(10))) AS s FROM d) WHERE regexp_matches(s, '[^\\x20\\x09-\\x0D]') GROUP BY r),
+m AS (SELECT d.r, doc_id, lang, source, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(ln.n, 0) AS n_lines, coalesce(ln.n - ln.u, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words FROM d LEFT JOIN rep USING (r) LEFT JOIN ln USING (r)),
+f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m),
+v AS ({" UNION ALL ".join(f"SELECT lang, source, '{k}' AS metric, CAST({x} AS BIGINT) AS v FROM f WHERE NOT base_failed" for k, x in ratio.items())}),
+sketch AS (SELECT lang, source, metric, (v >> {bits.format('v')}) << {bits.format('v')} AS low, count(*) AS n FROM v GROUP BY ALL),
+o AS ({points('lang, source, ', 'o')}), l AS ({points('lang, ', 'l')}), a AS ({points('', 'a')}),
+q AS (SELECT o.lang, o.source, o.metric, {pick} FROM o JOIN l ON o.lang IS NOT DISTINCT FROM l.lang AND o.metric = l.metric JOIN a ON o.metric = a.metric),
+t AS (SELECT lang, source, {high}, {low} FROM q GROUP BY lang, source)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({beyond}) AS kept FROM f LEFT JOIN t ON f.lang IS NOT DISTINCT FROM t.lang AND f.source IS NOT DISTINCT FROM t.source
+"""
+
+
+ORACLE_SQL = _oracle()
