@@ -3,14 +3,17 @@
 A window of WINDOW words stands under its anchor: the run of GRAM words in it with the least
 hash (the first of equals). Equal windows have equal anchors at equal places, so only windows
 whose anchor occurs more than once can repeat. A batch of documents becomes an immutable run of
-the index: its anchors, sorted by hash, each with the stretch of windows that stand under it.
-Runs are merge-joined by hash; anchors met more than once are verified with 96-bit digests of
-the words themselves; when there are many runs they are compacted into one sorted run.
+the index: the hashes of its anchors, each once with a count, sorted, and where they stand. The
+hashes of a new batch are merge-joined with those of the runs before it, which tells the anchors
+that the batch repeats, within itself or from history; these are recorded, and the runs are
+compacted into one sorted run when there are many. Anchors met more than once are verified with
+96-bit digests of the words themselves.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 from functools import lru_cache, reduce
 
@@ -19,18 +22,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvid.llm.text import bounded_broadcast
-from corvid.session import new_table_path, shared_table
+from corvid.llm.text import bounded_broadcast, dealt_join
+from corvid.session import new_table_path, scratch, shared_table
 
 WINDOW = 35
 #: Words of an anchor; any value up to the window's gives the same results.
 GRAM = 7
-#: Runs that are merged into one when there are more.
-FAN_IN = 4
+#: Runs that are merged into one before a further batch is added.
+FAN_IN = 3
+#: Batches that a corpus is added in where the caller names none.
+BATCHES = 4
 #: Words of eight bytes up to which the spans to remove are broadcast.
 BROADCAST_WORDS = 2_000_000
-#: Rows (of eight bytes) up to which the keys of texts to look into are broadcast.
-BROADCAST_ROWS = 1_000_000
+#: Rows (of eight to forty bytes) up to which keys are broadcast, and rows of one key that are too many for a task.
+BROADCAST_ROWS, HOT_ROWS = 1_000_000, 20_000
 _SLICE_BYTES = 1 << 22
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -148,31 +153,53 @@ def run_of(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame
 
 
 class FingerprintIndex:
-    """Sorted immutable runs of window fingerprints in the shared folder."""
+    """Sorted immutable runs of window fingerprints in the shared folder.
 
-    def __init__(self, spark: SparkSession, window: int = WINDOW, gram: int = GRAM, fan_in: int = FAN_IN, runs: list[str] | None = None):
+    A run's hashes lie in buckets, each sorted, with the same bounds in all runs, so runs are merged
+    bucket by bucket without a shuffle.
+    """
+
+    def __init__(self, spark: SparkSession, window: int = WINDOW, gram: int = GRAM, fan_in: int = FAN_IN):
         if window - gram > 250 or gram > window:
             raise ValueError("a window has to exceed its anchor, by 250 words at most")
-        self.spark, self.window, self.gram, self.fan_in, self.runs = spark, window, gram, fan_in, list(runs or [])
-
-    def _write(self, rows: DataFrame) -> str:
-        path = new_table_path(self.spark, "fingerprint-run")
-        rows.write.parquet(path)
-        return path
+        self.spark, self.window, self.gram, self.fan_in = spark, window, gram, fan_in
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.runs: list[str] = []
+        self.places: list[DataFrame] = []
+        self.met: list[DataFrame] = []
+
+    def _write_run(self, hashes: DataFrame) -> str:
+        """A table of h and n (how often it occurs), sorted within buckets of h."""
+        name = f"corvid_run_{uuid.uuid4().hex}"
+        writer = hashes.repartition(self.buckets, "h").write.bucketBy(self.buckets, "h").sortBy("h")
+        writer.option("path", new_table_path(self.spark, "fingerprint-run")).saveAsTable(name)
+        return name
 
     def add(self, docs: DataFrame) -> None:
-        """Append a run for a new batch, and compact when there are more than fan_in runs."""
-        self.runs.append(self._write(run_of(docs, self.window, self.gram).sortWithinPartitions("h")))
-        if len(self.runs) > self.fan_in:
+        """Add a new batch as a run, and record which of its hashes the index then holds twice or more."""
+        if len(self.runs) >= self.fan_in:
             self.compact()
+        places = shared_table(run_of(docs, self.window, self.gram), "fingerprint-places")
+        name = self._write_run(places.groupBy("h").agg(F.count("*").alias("n")))
+        new = self.spark.table(name)
+        met = [new.where("n > 1").select("h")]
+        met += [new.join(self.spark.table(run).select("h").hint("merge"), "h").select("h") for run in self.runs]
+        self.met.append(shared_table(reduce(DataFrame.unionByName, met), "fingerprints-repeated"))
+        self.places.append(places)
+        self.runs.append(name)
 
     def compact(self) -> None:
-        """Merge all runs into one sorted run; the old ones stay as they are for readers that hold them."""
-        merged = self.rows().repartition("h", F.pmod("row", F.lit(16))).sortWithinPartitions("h")
-        self.runs = [self._write(merged)]
-
-    def rows(self) -> DataFrame:
-        return reduce(DataFrame.unionByName, [self.spark.read.parquet(p) for p in self.runs])
+        """Merge all runs into one sorted run. What was recorded stays."""
+        every = reduce(DataFrame.unionByName, [self.spark.table(run) for run in self.runs])
+        merged = self._write_run(every.groupBy("h").agg(F.sum("n").alias("n")))
+        self.close()
+        self.runs = [merged]
+
+    def close(self) -> None:
+        """Forget the runs; their files lie in the shared folder."""
+        for run in self.runs:
+            self.spark.sql(f"DROP TABLE IF EXISTS {run}")
+        self.runs = []
 
     def repeated(self) -> DataFrame:
         """row, place, whole, parts for all anchors that occur twice or more over all runs.
@@ -181,12 +208,14 @@ class FingerprintIndex:
         do. parts: the anchor also stands in other stretches, with which single windows may be
         shared; of anchors with the same stretch, one is enough to tell.
         """
-        twice = self.rows().groupBy("h").count().where("count > 1").select("h")
-        met = shared_table(self.rows().join(twice.hint("merge"), "h", "left_semi"), "fingerprints-met")
+        twice = shared_table(reduce(DataFrame.unionByName, self.met).distinct(), "fingerprints-twice")
+        met = [p.join(bounded_broadcast(twice, BROADCAST_ROWS), "h", "left_semi") for p in self.places]
+        met = shared_table(reduce(DataFrame.unionByName, met), "fingerprints-met")
         me = F.xxhash64("row", "place")
-        classes = met.groupBy("h", "stretch").agg(F.count("*").alias("same"), F.min(me).alias("one"))
+        classes = shared_table(met.groupBy("h", "stretch").agg(F.count("*").alias("same"), F.min(me).alias("one")), "fingerprints-classes")
         mixed = classes.groupBy("h").agg((F.count("*") > 1).alias("mixed"))
-        joined = met.join(classes.join(mixed, "h"), ["h", "stretch"])
+        classes = shared_table(classes.join(mixed, "h"), "fingerprints-mixed")
+        joined = dealt_join(met, classes, ["h", "stretch"], "same", HOT_ROWS, BROADCAST_ROWS)
         return joined.select("row", "place", (F.col("same") > 1).alias("whole"), (F.col("mixed") & (me == F.col("one"))).alias("parts")).where("whole or parts")
 
 
@@ -225,8 +254,8 @@ def repeated_spans(docs: DataFrame, index: FingerprintIndex) -> DataFrame:
     """row, spans (start * 2^32 + stop, sorted and apart): words of docs covered by windows that
     occur elsewhere too. docs: all documents whose runs the index holds."""
     found = shared_table(digests(docs, index.repeated(), index.window), "window-digests")
-    twice = found.groupBy("d", "e").count().where("count > 1").select("d", "e")
-    spans = found.join(twice, ["d", "e"], "left_semi").groupBy("row").agg(F.array_sort(F.collect_set("span")).alias("s"))
+    twice = shared_table(found.groupBy("d", "e").agg(F.count("*").alias("times")).where("times > 1"), "window-digests-twice")
+    spans = dealt_join(found, twice, ["d", "e"], "times", HOT_ROWS, BROADCAST_ROWS).groupBy("row").agg(F.array_sort(F.collect_set("span")).alias("s"))
     start, stop = lambda x: F.shiftright(x, 32), lambda x: x.bitwiseAND(F.lit(0xFFFFFFFF))
     # runs of overlapping spans become one
     none = F.struct(F.array().cast("array<bigint>").alias("out"), F.lit(-1).cast("long").alias("a"), F.lit(-1).cast("long").alias("b"))
@@ -247,20 +276,29 @@ def _kept(words: list[bytes], spans: list[int] | None) -> list[bytes]:
     return out + words[to:]
 
 
+def in_batches(docs: DataFrame, batches: int = BATCHES) -> list[DataFrame]:
+    """Parts of docs by a hash of doc_id, as if they had come one after the other."""
+    return [docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == i) for i in range(batches)]
+
+
 def remove_repeats(docs: DataFrame, window: int = WINDOW, batches: list[DataFrame] | None = None, digest: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed and text (the kept words joined by one space) for every row of docs.
 
     A word goes if it lies in a window of consecutive words of one document whose word sequence
     also starts anywhere else, in the same document or another; windows are judged on the input.
-    batches: parts of docs that are added to the index one by one (all of docs at once if not given).
+    batches: parts of docs, which are added to the index one by one (in_batches() if not given).
     Null texts have no words; texts shorter than a window lose nothing. Null doc_ids are a value of
     their own. Repeated rows repeat each other's windows and keep a row each. Other columns are
     dropped, whatever their names; an empty table gives an empty one. digest: kept_sha256 in place of text.
     """
-    index = FingerprintIndex(docs.sparkSession, window, min(GRAM, window))
-    for part in batches or [docs]:
-        index.add(part)
-    spans = shared_table(repeated_spans(docs, index), "repeated-spans")
+    with scratch(docs.sparkSession) as keep:
+        index = FingerprintIndex(docs.sparkSession, window, min(GRAM, window))
+        try:
+            for part in batches or in_batches(docs.select("doc_id", "text")):
+                index.add(part)
+            spans = keep(shared_table(repeated_spans(docs, index), "repeated-spans"))
+        finally:
+            index.close()
     most = spans.agg(F.coalesce(F.sum(F.size("spans") + 4), F.lit(0))).first()[0]  # words of eight bytes
     spans = F.broadcast(spans) if most <= BROADCAST_WORDS else spans
     both = docs.select("doc_id", row_key().alias("row"), "text").join(spans, "row", "left").select("doc_id", "text", "spans")

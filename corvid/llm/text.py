@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corvid.session import shared_table
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What separates words of the white-space kind, and of the alphanumeric kind (after lower-casing).
 SPACE_CLASS = r"[\x20\x09-\x0D]"
@@ -34,6 +36,22 @@ def bounded_broadcast(df: DataFrame, most_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
 
 
+def dealt_join(many: DataFrame, few: DataFrame, keys: list[str], rows: str, most: int, most_broadcast: int) -> DataFrame:
+    """The inner join of many rows with few, which has one row for each of its keys and says in a
+    column how many of the rows share it. Both have to be cheap to read twice, such as shared tables.
+
+    Keys that over `most` rows share are few; they are broadcast apart, so that no task gathers one.
+    """
+    if few.limit(most_broadcast + 1).count() <= most_broadcast:
+        return many.join(F.broadcast(few), keys)
+    hot = shared_table(few.where(F.col(rows) > most), "hot-keys")
+    if not hot.limit(1).count():
+        return many.join(few, keys)
+    hot = bounded_broadcast(hot, most_broadcast)
+    rest = many.join(hot.select(*keys), keys, "left_anti").join(few.where(F.col(rows) <= most), keys)
+    return many.join(hot, keys).unionByName(rest)
+
+
 def free_names(df: DataFrame, *wanted: str) -> list[str]:
     """The wanted names, underscored until df has no column that differs from them by case alone."""
     taken = {c.lower() for c in df.columns}
