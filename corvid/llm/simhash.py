@@ -9,7 +9,6 @@ triangle inequality no true link is lost); survivors are verified on all bits.
 
 from __future__ import annotations
 
-import math
 import random
 from collections.abc import Iterator
 from functools import reduce
@@ -20,10 +19,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from corvid.llm.components import components
-from corvid.llm.text import ascii_lower, bounded_broadcast, split_words
 from corvid.session import shared_table
 
 PIVOTS = 12
@@ -33,15 +30,20 @@ PAIRS_UP_TO = 48
 _SLICE = 150_000
 
 
-def pivot_fingerprints(count: int = PIVOTS, words: int = 1, seed: int = 7) -> list[list[int]]:
+def pivot_fingerprints(count: int = PIVOTS, seed: int = 7) -> list[int]:
     """Fixed random reference fingerprints as signed 64-bit words."""
     draw = random.Random(seed)
-    return [[draw.getrandbits(64) - (1 << 63) for _ in range(words)] for _ in range(count)]
+    return [draw.getrandbits(64) - (1 << 63) for _ in range(count)]
+
+
+def words_of(text: str | None) -> list[bytes]:
+    """Runs without ASCII white space, A-Z lower-cased."""
+    return (text or "").encode("utf-8", "surrogatepass").translate(_ASCII_LOWER).split()
 
 
 def shingle_hashes(text: str | None, n: int) -> list[int]:
     """XXH64 (seed 42) of each run of n words, repeats included; of the whole if it is shorter."""
-    words = (text or "").encode("utf-8", "surrogatepass").translate(_ASCII_LOWER).split()
+    words = words_of(text)
     if len(words) <= n:
         return [xxhash.xxh64_intdigest(b" ".join(words), 42)] if words else []
     joined = b" ".join(words)
@@ -54,17 +56,10 @@ def shingle_hashes(text: str | None, n: int) -> list[int]:
 _ASCII_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
-def _mix(h: np.ndarray, k: int) -> np.ndarray:
-    """A further 64 bits from a hash (the SplitMix64 finaliser, at another start for each k)."""
-    z = h + np.uint64((0x9E3779B97F4A7C15 * k) & 0xFFFFFFFFFFFFFFFF)
-    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return z ^ (z >> np.uint64(31))
-
-
-def fingerprint_words(hashes: np.ndarray, bounds: np.ndarray, k: int) -> np.ndarray:
-    """The k-th fingerprint word of each text; bounds: where each text's hashes begin, and the end."""
-    h = hashes if k == 0 else _mix(hashes, k)
+def of_hashes(hashes: list[list[int]]) -> np.ndarray:
+    """The fingerprint of each list of unsigned 64-bit hashes."""
+    bounds = np.concatenate([[0], np.cumsum([len(x) for x in hashes])]).astype(np.int64)
+    h = np.fromiter((x for each in hashes for x in each), np.uint64, int(bounds[-1]))
     out = np.zeros(len(bounds) - 1, np.int64)
     first = 0
     while first < len(out):
@@ -89,60 +84,50 @@ def fingerprint_words(hashes: np.ndarray, bounds: np.ndarray, k: int) -> np.ndar
     return out
 
 
-def band_bits(bands: int, bits: int, words: int, seed: int = 11) -> np.ndarray:
-    """For each band, the places of its bits among all bits of a fingerprint; fixed for a seed."""
-    draw = random.Random(seed)
-    return np.array([sorted(draw.sample(range(64 * words), bits)) for _ in range(bands)])
-
+def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
+    """doc_id and fp (64 bits) for every row of docs.
 
-def fingerprints(docs: DataFrame, shingle: int = 3, words: int = 1, carry: tuple[str, ...] = ("doc_id",), bands: int = 0, bits: int = 0, repeats: bool = True) -> DataFrame:
-    """The carried columns, fp (an array of 64-bit words) and, if bands are asked for, their values, for every row of docs.
-
-    A bit is 1 if it is set in over half of the hashes of the shingles, repeats included unless
-    repeats is False. A null
+    A bit is 1 if it is set in over half of the hashes of the shingles, repeats included. A null
     text, or one without words, has the fingerprint zero. Texts of any length are read whole.
     """
-    names = list(carry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found: list[np.ndarray] = []
+            found = [np.zeros(0, np.int64)]
             for at in range(0, batch.num_rows, 400):
-                hashes = [shingle_hashes(t.as_py(), shingle) for t in batch.column(len(names)).slice(at, 400)]
-                if not repeats:
-                    hashes = [list(set(x)) for x in hashes]
-                bounds = np.concatenate([[0], np.cumsum([len(x) for x in hashes])]).astype(np.int64)
-                flat = np.fromiter((h for x in hashes for h in x), np.uint64, int(bounds[-1]))
-                found.append(np.stack([fingerprint_words(flat, bounds, k) for k in range(words)], axis=1))
-            fp = np.concatenate(found) if found else np.zeros((0, words), np.int64)
-            out = [batch.column(i) for i in range(len(names))] + [pa.array(list(fp), pa.list_(pa.int64()))]
-            if bands:
-                each = np.unpackbits(fp.view(np.uint8).reshape(len(fp), -1), axis=1, bitorder="little")[:, places.ravel()].reshape(len(fp), bands, bits)
-                out.append(pa.array(list(each.astype(np.int64) @ (1 << np.arange(bits))), pa.list_(pa.int64())))
-            yield pa.RecordBatch.from_arrays(out, [*names, "fp", "bands"][: len(out)])
-
-    places = band_bits(bands, bits, words) if bands else None
-    schema = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in names)
-    return docs.select(*names, "text").mapInArrow(run, schema + "fp array<bigint>" + ", bands array<bigint>" * bool(bands))
+                found.append(of_hashes([shingle_hashes(t.as_py(), shingle) for t in batch.column(1).slice(at, 400)]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(found))], ["doc_id", "fp"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long")
 
 
 def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def pivot_table(fps: DataFrame, pivots: list[list[int]]) -> DataFrame:
-    """Adds d0, d1, ...: the Hamming distances of fp (one word) to the pivots, as bytes."""
-    return fps.withColumns({f"d{i}": hamming(F.col("fp"), F.lit(p[0])).cast("tinyint") for i, p in enumerate(pivots)})
+def pivot_table(fps: DataFrame, pivots: list[int], fp: str = "fp", prefix: str = "d") -> DataFrame:
+    """Adds d0, d1, ... (or another prefix): the Hamming distances of fp to the pivots, as bytes."""
+    return fps.withColumns({f"{prefix}{i}": hamming(F.col(fp), F.lit(p)).cast("tinyint") for i, p in enumerate(pivots)})
+
+
+def survivors(pairs: DataFrame, refs: list[int], most_bits: int) -> DataFrame:
+    """The pairs a, b that no pivot tells apart by over most_bits and whose bits differ in most_bits at most."""
+    table = pivot_table(pivot_table(pairs.select("a", "b"), refs, "a", "x"), refs, "b", "y")
+    near = reduce(Column.__and__, [F.abs(F.col(f"x{i}") - F.col(f"y{i}")) <= most_bits for i in range(len(refs))])
+    return table.where(near).where(hamming(F.col("a"), F.col("b")) <= most_bits).select("a", "b")
 
 
 def links(fps: DataFrame, most_bits: int = 2, pivots: int = PIVOTS, pairs_up_to: int = PAIRS_UP_TO) -> DataFrame:
     """Edges a, b between distinct 64-bit fingerprints (column fp) that join exactly those within
-    most_bits (at most 2) of each other, directly or through others that are.
+    most_bits (1 or 2) of each other, directly or through others that are. Every candidate, of
+    buckets of any size, passes the pivot distances and is verified on its bits.
 
     With four runs of 16 coordinates and two differing bits, two runs are the same, so each
     fingerprint is listed under its six pairs of runs. Buckets of up to pairs_up_to fingerprints
     compare all pairs. In larger ones, each fingerprint is listed under itself and its 64
-    neighbours at one bit; two share such a midpoint exactly if they are within two bits.
+    neighbours at one bit; two share such a midpoint exactly if they are within two bits, and the
+    candidates are the pairs of a midpoint's members with its least one (for one bit, neighbours
+    themselves), which is linear.
     """
     if not 0 < most_bits <= 2:
         raise ValueError("most_bits has to be 1 or 2")
@@ -159,14 +144,14 @@ def links(fps: DataFrame, most_bits: int = 2, pivots: int = PIVOTS, pairs_up_to:
     pairs = x.join(y, [F.col("x.n") == F.col("y.n"), F.col("x.k") == F.col("y.k"), F.col("x.fp") < F.col("y.fp"), near, hamming(F.col("x.fp"), F.col("y.fp")) <= most_bits])
     pairs = pairs.select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
     crowded = shared.where(F.col("size") > pairs_up_to).select("fp").distinct()
+    beside = [F.col("fp").bitwiseXOR(F.lit((1 << i) - ((1 << 64) if i == 63 else 0))) for i in range(64)]
     if most_bits == 2:
-        points = crowded.select("fp", F.explode(F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit((1 << i) - ((1 << 64) if i == 63 else 0))) for i in range(64)])).alias("z"))
+        points = crowded.select("fp", F.explode(F.array(F.col("fp"), *beside)).alias("z"))
         firsts = points.groupBy("z").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1")
         stars = points.join(firsts, "z").where("fp != a").select("a", F.col("fp").alias("b"))
-    else:
-        stars = crowded.select(F.col("fp").alias("b"), F.explode(F.array(*[F.col("fp").bitwiseXOR(F.lit((1 << i) - ((1 << 64) if i == 63 else 0))) for i in range(64)])).alias("a"))
-        stars = stars.join(crowded.withColumnRenamed("fp", "a"), "a").select("a", "b")
-    return pairs.unionByName(stars).distinct()
+    else:  # each is a neighbour of the other
+        stars = crowded.select(F.col("fp").alias("b"), F.explode(F.array(*beside)).alias("a")).join(crowded.withColumnRenamed("fp", "a"), "a")
+    return pairs.unionByName(survivors(stars, refs, most_bits)).distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, most_bits: int = 2) -> DataFrame:
@@ -178,7 +163,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, most_bits: int = 2) -> Da
     component are. Other columns are dropped, whatever their names; an empty table gives an
     empty one. Groups of copies are one fingerprint from the start and are never paired.
     """
-    of_docs = shared_table(fingerprints(docs, shingle).select("doc_id", F.col("fp")[0].alias("fp")), "fingerprints")
+    of_docs = shared_table(fingerprints(docs, shingle), "fingerprints")
     distinct = shared_table(of_docs.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprints-distinct")
     roots = components(links(distinct.select("fp"), most_bits))
     labelled = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
@@ -186,192 +171,3 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, most_bits: int = 2) -> Da
     named = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = shared_table(labelled.select("fp", "root").join(named, "root").select("fp", "component_id"), "fingerprints-classes")
     return of_docs.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-#: For near_dedup(): words of a fingerprint; bands of so many bits that link close copies cheaply,
-#: before prefix_pairs() pairs all that is left; pairs in a bucket up to this size are all compared
-#: at once; differing bits up to which a pair is verified on its shingles (two sets of similarity
-#: 0.8 differ in a bit with probability 0.19 at most: over 96 of 256 is beyond 7 deviations).
-WIDE, BANDS, BAND_BITS, BUCKET, WIDE_BITS = 4, 24, 20, 32, 96
-#: Share of the texts, and their least number, in which common shingles are looked for, and how many
-#: are listed at most. They only decide in which order prefixes are taken, so no pair hangs on them.
-ORDER_SHARE, ORDER_TEXTS, ORDER_LISTED = 1 / 16, 20_000, 300_000
-BROADCAST_ROWS = 150_000
-#: Shingle hashes that a worker keeps while it verifies pairs; beyond, it starts afresh. Results don't depend on it.
-SETS_HELD = 500_000
-
-
-def normalised_key(text: Column) -> Column:
-    """128 bits of the words, lower-cased and joined by one space; the same for all texts without words."""
-    return F.md5(F.array_join(split_words(ascii_lower(F.coalesce(text, F.lit("")))), " "))
-
-
-def wide_hamming(a: str, b: str) -> Column:
-    return reduce(Column.__add__, [hamming(F.col(a)[i], F.col(b)[i]) for i in range(WIDE)])
-
-
-def _resemble(pairs: DataFrame, pivots: int) -> DataFrame:
-    """a, b of those pairs (with a_fp, b_fp and their pivot distances) that no pivot and not the Hamming bound discards."""
-    near = reduce(Column.__and__, [F.abs(F.col(f"a_d{i}") - F.col(f"b_d{i}")) <= WIDE_BITS for i in range(pivots)])
-    return pairs.where(near & (wide_hamming("a_fp", "b_fp") <= WIDE_BITS)).select("a", "b")
-
-
-class WidePairs:
-    """Pairs of keys worth verifying; of_texts: key, fp, bands, a row for each distinct text.
-
-    Buckets of up to bucket texts pair all of them, a crowded bucket is compared with two of its
-    members (first()). That links most copies but misses pairs; prefix_pairs() finds these among
-    all texts, whatever their buckets.
-    """
-
-    PIVOTS = 8
-
-    def __init__(self, of_texts: DataFrame, bucket: int) -> None:
-        refs = pivot_fingerprints(self.PIVOTS, WIDE)
-        self.table = of_texts.select("key", "fp", *[reduce(Column.__add__, [hamming(F.col("fp")[i], F.lit(p[i])) for i in range(WIDE)]).cast("smallint").alias(f"d{n}") for n, p in enumerate(refs)])
-        listed = shared_table(of_texts.select("key", F.posexplode("bands").alias("band", "value")), "bands")
-        buckets = listed.groupBy("band", "value").agg(F.count("*").alias("size"), F.min("key").alias("first"), F.max("key").alias("last")).where("size > 1")
-        shared = shared_table(listed.join(buckets, ["band", "value"]), "bands-shared")
-        self.small = shared.where(F.col("size") <= bucket).select("band", "value", "key")
-        self.crowded = shared.where(F.col("size") > bucket)
-
-    def _named(self, k: str) -> DataFrame:
-        return self.table.select(F.col("key").alias(k), *[F.col(c).alias(f"{k}_{c}") for c in self.table.columns[1:]])
-
-    def first(self) -> DataFrame:
-        pairs = self.small.withColumnRenamed("key", "a").join(self.small.withColumnRenamed("key", "b"), ["band", "value"]).where("a < b").select("a", "b")
-        stars = self.crowded.select(F.col("first").alias("a"), F.col("key").alias("b")).unionByName(self.crowded.select(F.col("key").alias("a"), F.col("last").alias("b"))).where("a != b")
-        pairs = pairs.unionByName(stars).distinct()
-        return _resemble(pairs.join(self._named("a"), "a").join(self._named("b"), "b"), self.PIVOTS)
-
-    def resembling(self, pairs: DataFrame) -> DataFrame:
-        return _resemble(pairs.join(self._named("a"), "a").join(self._named("b"), "b"), self.PIVOTS)
-
-
-def common_shingles(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of shingles that several of the looked-at texts (key, text) hold, and in how many."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for text in batch.column(0):
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(list(set(shingle_hashes(text.as_py(), shingle))), np.uint64).view(np.int64))], ["token"])
-
-    share = max(ORDER_SHARE, ORDER_TEXTS / max(1, texts.count()))
-    some = texts.where(F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < int(min(share, 1.0) * (1 << 20))).select("text")
-    found = some.mapInArrow(run, "token long").groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
-    top = found.orderBy(F.desc("n"), "token").limit(ORDER_LISTED).toArrow()
-    tokens = top.column("token").to_numpy()
-    order = np.argsort(tokens)
-    return tokens[order], top.column("n").to_numpy()[order]
-
-
-def prefix_tokens(texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """id (of the key), n, tokens: of each text (key, text) those of its n distinct shingles, uncommon
-    ones first, then by hash, of which two similar texts share at least one. Copies keep a row each."""
-    listed, counts = common_shingles(texts, shingle)
-    known = texts.sparkSession.sparkContext.broadcast((np.append(listed, np.int64(2**63 - 1)), np.append(counts, 0)))
-
-    def prefix(text: str | None) -> tuple[int, np.ndarray]:
-        own = np.unique(np.array(shingle_hashes(text, shingle), np.uint64)).view(np.int64)
-        of, n = known.value
-        at = np.searchsorted(of, own)
-        common = np.where(of[at] == own, n[at], 0)
-        return len(own), own[np.lexsort((own, common))][: len(own) - math.ceil(len(own) * similarity - 1e-9) + 1]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [prefix(t.as_py()) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for n, _ in found], pa.int32()), pa.array([t for _, t in found], pa.list_(pa.int64()))], ["id", "n", "tokens"])
-
-    return shared_table(texts.select(F.xxhash64("key").alias("id"), "text").mapInArrow(run, "id long, n int, tokens array<long>"), "near-prefix-sets")
-
-
-def prefix_pairs(texts: DataFrame, shingle: int, similarity: float, roots: DataFrame | None = None) -> DataFrame:
-    """a, b: every pair of texts (key, text) of different roots that may be similar enough; roots: key, root (by default columns of texts).
-
-    Texts with a common prefix token are paired if the bounds on their lengths and on the places of
-    the token allow the similarity. The largest component of a token isn't paired within itself, nor
-    is any other: work grows with what is not linked yet, not with the size of a group of copies.
-    Keys and roots go by 64 bits here.
-    """
-    names = shared_table((texts if roots is None else roots).select(F.xxhash64("key").alias("id"), F.xxhash64("root").alias("root"), "key"), "near-prefix-names")
-    one = prefix_tokens(texts, shingle, similarity).groupBy("id").agg(F.first(F.struct("n", "tokens")).alias("f"))
-    tokens = one.join(names.select("id", "root"), "id").select("id", "root", F.col("f.n").alias("n"), F.posexplode("f.tokens").alias("at", "token"))
-    tokens = shared_table(tokens.withColumn("at", F.col("at") + 1), "near-prefixes")
-    main = tokens.groupBy("token", "root").count().groupBy("token").agg(F.max_by("root", "count").alias("main"), F.count("*").alias("several")).where("several > 1")
-    main = shared_table(main.select("token", "main"), "near-prefix-main")
-    every = shared_table(tokens.join(bounded_broadcast(main, BROADCAST_ROWS), "token"), "near-prefix-shared")
-    x = every.where("root != main").select("token", *[F.col(c).alias(f"a_{c}") for c in ("id", "root", "n", "at")])
-    y = every.select("token", "main", *[F.col(c).alias(f"b_{c}") for c in ("id", "root", "n", "at")])
-    a_n, b_n = F.col("a_n"), F.col("b_n")
-    most = F.least(a_n - F.col("a_at"), b_n - F.col("b_at")) + 1
-    alike = (most >= (a_n + b_n) * (similarity / (1 + similarity)) - 1e-9) & (F.least(a_n, b_n) >= F.greatest(a_n, b_n) * similarity - 1e-9)
-    pairs = y.join(x, "token").where("a_root != b_root and (b_root = main or a_id < b_id)").where(alike)
-    pairs = shared_table(pairs.select(F.least("a_id", "b_id").alias("x"), F.greatest("a_id", "b_id").alias("y")).distinct(), "near-prefix-pairs")
-    named = pairs.join(names.select(F.col("id").alias("x"), F.col("key").alias("k")), "x").join(names.select(F.col("id").alias("y"), F.col("key").alias("l")), "y")
-    return named.select(F.least("k", "l").alias("a"), F.greatest("k", "l").alias("b"))
-
-
-def near_dedup(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bucket: int = BUCKET) -> DataFrame:
-    """The rows of docs, with all their columns, that stay: one of each group of near-duplicates.
-
-    Two texts are linked if the sets of their shingles (runs of words, A-Z lower-cased; the whole of
-    a shorter text) have a Jaccard similarity of at least similarity; equal word sequences always,
-    the empty one included. Bands of wide SimHash fingerprints bring close copies together; all that
-    they leave apart is paired by common shingles of prefixes. Candidates pass the pivot distances
-    and the Hamming bound, and are verified on their shingles, so no other texts are linked. Of a group the smallest doc_id stays (null
-    only if all are), of repeated rows one. An empty table gives an empty one.
-    """
-    keyed = docs.select("doc_id", normalised_key(F.col("text")).alias("key"), "text")
-    rows = shared_table(fingerprints(keyed, shingle, WIDE, ("doc_id", "key"), BANDS, BAND_BITS, repeats=False), "near-fingerprints")
-    texts = shared_table(rows.groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"), F.min(F.struct("fp", "bands")).alias("f")).select("key", "least", "n", "f.fp", "f.bands"), "near-texts")
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets: dict[str, set[int]] = {}
-        held = 0
-
-        def shingles(key: str, text: pa.StringScalar) -> set[int]:
-            nonlocal held
-            if (found := sets.get(key)) is None:
-                if held > SETS_HELD:
-                    sets.clear()
-                    held = 0
-                found = sets[key] = set(shingle_hashes(text.as_py(), shingle))
-                held += len(found)
-            return found
-
-        for batch in batches:
-            keep = []
-            for a, b, x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
-                s, t = shingles(a, x), shingles(b, y)
-                both = len(s & t)
-                keep.append(both >= similarity * (len(s) + len(t) - both) if s or t else True)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    def texts_for(keys: DataFrame) -> DataFrame:
-        return shared_table(keyed.select("key", "text").join(bounded_broadcast(keys, BROADCAST_ROWS), "key").dropDuplicates(["key"]), "near-pair-texts")
-
-    def linked(pairs: DataFrame, of_pairs: DataFrame) -> DataFrame:
-        texts_of = lambda k: of_pairs.select(F.col("key").alias(k), F.col("text").alias(f"text_{k}"))
-        return pairs.join(texts_of("a"), "a").join(texts_of("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(verify, "a string, b string")
-
-    candidates = WidePairs(texts, bucket)
-    pairs = shared_table(candidates.first(), "near-pairs")
-    named = shared_table(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "near-pair-keys")
-    links_first = shared_table(linked(pairs, texts_for(named)), "near-links")
-    joined = components(links_first).withColumnRenamed("node", "key")
-    roots_first = texts.select("key").join(joined, "key", "left").select("key", F.coalesce("root", "key").alias("root"))
-    more = shared_table(candidates.resembling(prefix_pairs(keyed.select("key", "text"), shingle, similarity, roots_first)), "near-pairs-rest")
-    named = shared_table(more.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "near-pair-keys")
-    roots = components(links_first.unionByName(shared_table(linked(more, texts_for(named)), "near-links-rest")))
-    labelled = shared_table(texts.select("key", "least").join(roots.withColumnRenamed("node", "key"), "key", "left").select("key", "least", F.coalesce("root", "key").alias("root")), "near-roots")
-    first = F.struct(F.col("least").isNull().alias("none"), "least", "key")
-    winners = labelled.groupBy("root").agg(F.min(first).alias("w")).select("root", "w.least", F.col("w.key").alias("key"))
-    stays = labelled.select("key", "root").join(winners.select("root", F.col("least").alias("best"), F.col("key").alias("best_key")), "root").select(F.col("key").alias("k"), "best", "best_key")
-    losers = rows.select("doc_id", "key").join(stays, F.col("key") == F.col("k")).where(~((F.col("key") == F.col("best_key")) & F.col("doc_id").eqNullSafe(F.col("best"))))
-    losers = shared_table(losers.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct(), "near-losers")
-    left = docs.join(bounded_broadcast(losers, BROADCAST_ROWS), F.col("doc_id").eqNullSafe(F.col("_id")) & (normalised_key(F.col("text")) == F.col("_key")), "left_anti")
-    repeated = rows.groupBy("doc_id", "key").count().where("count > 1").limit(1).count()
-    if not repeated:
-        return left
-    return left.withColumn("_key", normalised_key(F.col("text"))).dropDuplicates(["doc_id", "_key"]).drop("_key")

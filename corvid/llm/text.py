@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import ctypes
+import gc
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvid.session import shared_table
@@ -52,6 +56,26 @@ def dealt_join(many: DataFrame, few: DataFrame, keys: list[str], rows: str, most
     return many.join(hot, keys).unionByName(rest)
 
 
+#: Rows with whole texts that go to Python at once.
+TEXT_ROWS = 1_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let Arrow batches hold TEXT_ROWS rows, as texts may be long; a setting of the session's own stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) == 10_000:
+        spark.conf.set(key, str(TEXT_ROWS))
+
+
+def give_back() -> None:
+    """Return freed memory of this Python worker to the system, where the C library can: workers live on between stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def free_names(df: DataFrame, *wanted: str) -> list[str]:
     """The wanted names, underscored until df has no column that differs from them by case alone."""
     taken = {c.lower() for c in df.columns}
