@@ -16,17 +16,21 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from corvid.llm import bpe, catalog, components, decontamination, line_dedup, quality, simhash, substring, token_counts, toxicity, url_filter, warc
+import numpy as np
+
+from corvid.llm import bpe, catalog, components, decontamination, line_dedup, near_dedup, quality, simhash, substring, token_counts, toxicity, url_filter, warc
 
 SF = "/root/testdata/sf0.001"
 JSON, RANKS = P.path("byte_bpe_50k.json"), P.path("byte_bpe_50k.tiktoken")
 SPACE = "[\x20\x09-\x0d]+"
+#: Names that operators use inside, in columns of the caller.
+CLASHES = ["n_words", "key", "_KEY", "Name", "kept", "lines", "h", "row", "r1", "host", "t", "hit_id", "n_lines", "rank"]
 AWKWARD = [(1, None), (2, ""), (3, " \n\t "), (None, "a b c"), (None, "a b c"), (7, "x " * 3000 + "\n" + "é日𝒳 " * 500), (7, "x"), (9, "one\ntwo\none")]
 
 
 def table(spark, rows, schema="doc_id long, text string"):
-    """With an extra column whose name clashes with results."""
-    return spark.createDataFrame([(*r, "clash") for r in rows], schema + ", n_words string")
+    """With extra columns whose names clash with results and with names used inside."""
+    return spark.createDataFrame([(*r, *CLASHES) for r in rows], schema + "".join(f", {c} string" for c in CLASHES))
 
 
 def words(text):
@@ -53,8 +57,32 @@ def test_chunked_counts_and_codes(text, size):
 def test_prefix_scan_is_composition():
     t = token_counts.compiled(JSON)
     text = "It's the  end,\n\n of a text that is cut anywhere 123"
-    maps = [token_counts.state_map(text[i : i + 5], t.emitted) for i in range(0, len(text), 5)]
-    assert token_counts.prefix_scan(maps, t.emitted)[-1] == token_counts.total(maps, t.emitted)
+    for size in (1, 3, 5, 8):
+        maps = [token_counts.state_map(text[i : i + size], t.emitted) for i in range(0, len(text), size)]
+        scan = token_counts.prefix_scan(maps, t.emitted)
+        assert [token_counts.closed(m, t.emitted) for m in scan] == [t.emitted(text[: size * (i + 1)]) for i in range(len(maps))]
+
+
+def test_counts_come_from_the_compiled_merges():
+    """Without the library: of bytes that no text holds, of merges that overlap, with caches that start afresh."""
+    t = token_counts.Transducer(JSON)
+    library = Tokenizer.from_file(JSON)
+    draw = random.Random(2)
+    for text in ["aaaaaaaaaaaaaaa", "   " * 50, "\n" * 77, "ÿþ日本語" * 9, *("".join(draw.choice("ab th ein123,.!é") for _ in range(60)) for _ in range(60))]:
+        assert t.emitted(text) == len(library.encode(text, add_special_tokens=False).ids)
+    assert len(t.states) > 100 and sum(n for _, n in t.moves[0].values()) == len(t.moves[0])
+    for a, b in [(draw.choice(list(t.merges.bytes)), draw.choice(list(t.merges.bytes))) for _ in range(3000)]:
+        assert t.merges.side_by_side(a, b) == (t.merges.encode(t.merges.bytes[a] + t.merges.bytes[b]) == [a, b])
+
+
+def test_toy_merges_overlap():
+    """Rules of "aaa" and crossing merges, against the definition."""
+    vocabulary = {c: i for i, c in enumerate(["a", "b", "c", "aa", "ab", "aab", "bc", "abc"])}
+    m = token_counts.Merges(vocabulary, ["a a", "a b", "aa b", "b c", "ab c"])
+    for x in m.bytes:
+        for y in m.bytes:
+            if m.alone(x):
+                assert m.side_by_side(x, y) == (m.encode(m.bytes[x] + m.bytes[y]) == [x, y]), (x, y)
 
 
 def test_token_counts_awkward(spark):
@@ -80,7 +108,7 @@ def test_bpe_awkward(spark, ranks):
 @pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
 def test_twins(spark, name):
     d = duckdb.connect()
-    for t in ("documents", "benchmark", "pages"):
+    for t in ("documents", "benchmark", "pages", "labels"):
         d.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     df = catalog.queries()[name](spark, SF)
     cols = sorted(df.columns)
@@ -112,9 +140,11 @@ def near(a, b):
     return a[j + 1 :] == b[j + 1 :] if len(a) == len(b) else a[j + 1 :] == b[j:]
 
 
-@pytest.mark.parametrize(("fuzzy", "most"), [(3, 10**6), (2, 0)])
-def test_line_dedup_brute_force(spark, monkeypatch, fuzzy, most):
+@pytest.mark.parametrize(("fuzzy", "most", "short"), [(3, 10**6, True), (2, 0, False)])
+def test_line_dedup_brute_force(spark, monkeypatch, fuzzy, most, short):
     monkeypatch.setattr(line_dedup, "BROADCAST_ROWS", most)
+    if not short:
+        monkeypatch.setattr(line_dedup, "PLACE_BITS", 3)
     draw = random.Random(fuzzy)
     rows = [(i, "\n".join(" ".join(draw.choice("abc") for _ in range(draw.randint(0, 6))) for _ in range(draw.randint(0, 5)))) for i in range(80)] + [(900, None), (901, "")]
     got = {r.doc_id: (r.n_lines, r.n_kept, r.text) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), fuzzy).collect()}
@@ -134,9 +164,17 @@ def test_line_dedup_brute_force(spark, monkeypatch, fuzzy, most):
 
 
 def test_line_dedup_awkward(spark):
-    out = line_dedup.dedup_lines(table(spark, AWKWARD)).collect()
-    assert len(out) == len(AWKWARD) and {r.text for r in out if r.doc_id == 9} == {"one\ntwo"} and {r.n_words for r in out} == {"clash"}
-    assert line_dedup.dedup_lines(table(spark, AWKWARD).limit(0)).count() == 0
+    docs = table(spark, AWKWARD)
+    out = line_dedup.dedup_lines(docs).collect()
+    assert len(out) == len(AWKWARD) and {r.text for r in out if r.doc_id == 9} == {"one\ntwo"}
+    assert all(r[c] == c for r in out for c in CLASHES if c != "n_lines") and {r.n_lines for r in out} == {0, 1, 2, 3}
+    assert line_dedup.dedup_lines(docs.limit(0)).count() == 0
+
+
+def test_line_dedup_rows_that_share_a_doc_id(spark):
+    rows = [(8, "a\nb"), (8, "c"), (5, "z"), (7, "x y"), (7, "z"), (10, "n\nm"), (10, "n\nm")]
+    got = [tuple(r)[:4] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_lines", "n_kept", "text").collect()]
+    assert got == [(8, 2, 2, "a\nb"), (8, 1, 1, "c"), (5, 1, 1, "z"), (7, 1, 1, "x y"), (7, 1, 0, ""), (10, 2, 2, "n\nm"), (10, 2, 2, "n\nm")]
 
 
 def test_quality_brute_force(spark):
@@ -176,16 +214,55 @@ def test_quality_thresholds_follow_the_sketch(spark):
     assert {900, 901, 902} <= gone and len(gone) <= 12
 
 
-def test_warc(spark):
-    rows = [(i, f"http://h/{i}", f"<p>é{i}") for i in range(700)] + [(None, None, None), (5, "http://h/5", "again")]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
-    out = warc.fixity(pages, warc.damaged(pages, 100)).collect()
-    assert len(out) == len(rows) and {r.page_id for r in out if r.status == "corrupt"} == {0, 100, 200, 300, 400, 500, 600}
-    assert {r.status for r in warc.fixity(pages, pages.where("page_id < 650")).collect()} >= {"missing", "ok"}
-    records = pages.selectExpr("page_id", "url as u", "html as h").withColumn("record", warc.record(*[__import__("pyspark").sql.functions.col(c) for c in ("page_id", "u", "h")]))
+def warc_rows():
+    return [(i, f"http://h/{i}", f"<p>é{i}") for i in range(700)] + [(None, None, None)] * 2 + [(5, "http://h/5", "again")] * 3 + [(7, "u", str(k)) for k in range(300)]
+
+
+def audited(spark, pages, replica):
+    schema = "page_id long, url string, html string"
+    out = warc.fixity(table(spark, pages, schema), table(spark, replica, schema)).collect()
+    return out, collections.Counter(r.status for r in out)
+
+
+def test_warc_locates_what_differs(spark):
+    rows = warc_rows()
+    out, status = audited(spark, rows, rows)
+    assert status == {"ok": len(rows)}
+    by_segment = collections.defaultdict(list)
+    for r in out:
+        by_segment[r.segment].append((r.seq, r.start, r.length))
+    for placed in by_segment.values():  # every byte of a segment lies in one record
+        placed.sort()
+        assert [p[0] for p in placed] == list(range(len(placed))) and all(a[1] + a[2] == b[1] for a, b in zip(placed, placed[1:])) and placed[0][1] == 0
+    _, status = audited(spark, rows, [r for r in rows if r[0] != 100])
+    assert status == {"ok": len(rows) - 1, "missing": 1}
+    _, status = audited(spark, rows, [r for r in rows if (r[0] or 0) < 650])
+    assert status == {"ok": len(rows) - 50, "missing": 50}
+    replica = [r for r in rows if r[0] != 10]
+    replica[replica.index((5, "http://h/5", "again"))] = (5, "http://h/5", "other")
+    replica[replica.index((7, "u", "44"))] = (7, "u", "x")
+    out, status = audited(spark, rows, [*replica, (7, "u", "x"), (7, "u", "x"), (9999, "a", "b")])
+    assert status == {"ok": len(rows) - 3, "corrupt": 2, "missing": 1, "extra": 3}
+    assert sorted(r.page_id for r in out if r.status == "extra") == [7, 7, 9999] and {r.page_id for r in out if r.status == "corrupt"} == {5, 7}
+
+
+def test_warc_empty_and_whole(spark):
+    rows = warc_rows()[:20]
+    assert audited(spark, [], [])[1] == {} and audited(spark, rows, [])[1] == {"missing": 20} and audited(spark, [], rows)[1] == {"extra": 20}
+    pages = spark.createDataFrame([*rows, (None, None, None)], "page_id long, u string, h string")
+    F = __import__("pyspark").sql.functions
+    records = pages.withColumn("record", warc.record(F.col("page_id"), F.col("u"), F.col("h")))
     assert all((r.url or "") == (r.u or "") and (r.html or "") == (r.h or "") for r in warc.parse(records).collect())
 
 
+def test_warc_roots_tell_offsets(spark):
+    """The same bytes, cut into records elsewhere, have another root."""
+    a = [(1, "u", "x" * 10), (2, "u", "y" * 4)]
+    b = [(1, "u", "x" * 9), (2, "u", "y" * 5)]
+    root = lambda rows: {r.root_sha256 for r in audited(spark, rows, rows)[0]}
+    assert root(a) != root(b) and root(a) == root(a[::-1])
+
+
 def test_simhash_brute_force(spark):
     draw = random.Random(4)
     base = [" ".join(draw.choice("abcdefgh") * draw.randint(1, 3) for _ in range(draw.randint(1, 40))) for _ in range(20)]
@@ -219,28 +296,68 @@ def test_crowded_buckets_give_the_same_components(spark):
     assert classes[0] == classes[1]
 
 
-def test_near_dedup(spark):
-    draw = random.Random(8)
-    text = [[f"w{draw.randrange(5000)}" for _ in range(300)] for _ in range(30)]
-    other = [[*t[:150], "changed", *t[151:]] for t in text[:15]]
-    rows = [(i, " ".join(t)) for i, t in enumerate(text + other)] + [(200, "a b"), (201, "A  b"), (202, None), (203, ""), (200, "a b")]
-    kept = sorted(r.doc_id for r in simhash.near_dedup(table(spark, rows)).collect())
-    assert kept == [*range(30), 200, 202]
+def shingle_sets(texts, n):
+    return [{tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} for w in map(str.split, texts)]
+
+
+def one_of_each(rows, shingle, similarity=0.8):
+    """doc_ids that stay, by comparing all pairs."""
+    sets = shingle_sets([t.lower() for _, t in rows], shingle)
+    root = list(range(len(rows)))
 
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
 
-def test_near_dedup_crowded_buckets_lose_no_pair(spark):
-    """Chains of gradual changes, whose ends don't resemble each other: every bucket crowded, or none."""
-    draw = random.Random(9)
+    for i in range(len(rows)):
+        for k in range(i):
+            if len(sets[i] & sets[k]) >= similarity * len(sets[i] | sets[k]) - 1e-9:
+                root[find(i)] = find(k)
+    best = {}
+    for i, (d, _) in enumerate(rows):
+        best[find(i)] = min(best.get(find(i), d), d)
+    return sorted(best.values())
+
+
+def gradual(draw, texts, steps, words, edits):
     rows = []
-    for _ in range(4):
-        t = [f"w{draw.randrange(5000)}" for _ in range(200)]
-        for _ in range(12):
-            rows.append((len(rows), " ".join(t)))
-            for _ in range(2):
-                t[draw.randrange(200)] = f"w{draw.randrange(5000)}"
-    docs = table(spark, rows)
-    kept = [sorted(r.doc_id for r in simhash.near_dedup(docs, bucket=b).collect()) for b in (1, 4, 10**6)]
-    assert kept[0] == kept[1] == kept[2] and len(kept[0]) < 12
+    for _ in range(texts):
+        t = [f"w{draw.randrange(5000)}" for _ in range(words)]
+        for _ in range(steps):
+            rows.append(" ".join(t))
+            for _ in range(draw.randint(0, edits)):
+                at = draw.randrange(len(t))
+                t = [*t[:at], *draw.choice([[], [f"w{draw.randrange(5000)}"], [t[at], f"w{draw.randrange(9)}"]]), *t[at + 1 :]]
+    draw.shuffle(rows)
+    return list(enumerate(rows))
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("most", [10**6, 0])
+def test_near_dedup_is_what_all_pairs_give(spark, monkeypatch, seed, most):
+    """Chains of gradual changes, whose ends don't resemble each other, stars around one text, short texts and copies."""
+    monkeypatch.setattr(near_dedup, "BROADCAST_ROWS", most)
+    monkeypatch.setattr(near_dedup, "SPLIT", 7)
+    draw = random.Random(seed)
+    rows = gradual(draw, 6, 12, draw.choice([20, 80, 200]), 3)
+    base = [f"w{draw.randrange(5000)}" for _ in range(150)]
+    for _ in range(60):
+        t = list(base)
+        for _ in range(draw.randint(1, 9)):
+            t[draw.randrange(150)] = f"x{draw.randrange(10**6)}"
+        rows.append((len(rows), " ".join(t)))
+    rows += [(len(rows) + i, " ".join(draw.choice("abc") for _ in range(draw.randint(1, 9)))) for i in range(60)]
+    got = sorted(r.doc_id for r in near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == one_of_each(rows, 5)
+
+
+def test_near_dedup_awkward(spark):
+    rows = [(200, "a b"), (201, "A  b"), (202, None), (203, ""), (200, "a b"), (200, "a  b"), (None, "q r"), (5, "q\tr"), (None, None), (300, "x y " * 40_000), (301, "x y " * 40_001)]
+    out = near_dedup.near_dedup(table(spark, rows)).collect()
+    assert sorted(r.doc_id for r in out) == [5, 200, 202, 300] and out[0].asDict().keys() == {"doc_id", "text", *CLASHES}
+    assert near_dedup.near_dedup(table(spark, rows).limit(0)).count() == 0
+    assert len(near_dedup.near_dedup(table(spark, [(None, "s t"), (None, "s t"), (None, "s  t")])).collect()) == 1
 
 
 def test_near_dedup_finds_lone_pairs_at_the_threshold(spark):
@@ -251,42 +368,26 @@ def test_near_dedup_finds_lone_pairs_at_the_threshold(spark):
     rows = [(i, " ".join(t)) for i, t in enumerate(base + copies)]
     sets = shingle_sets([t for _, t in rows], 5)
     assert all(len(sets[i] & sets[i + 160]) >= 0.8 * len(sets[i] | sets[i + 160]) for i in range(160))
-    assert sorted(r.doc_id for r in simhash.near_dedup(table(spark, rows)).collect()) == list(range(160))
+    assert sorted(r.doc_id for r in near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == list(range(160))
 
 
-def shingle_sets(texts, n):
-    return [{tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} for w in map(str.split, texts)]
-
-
-def test_prefix_pairs_hold_every_similar_pair(spark):
-    draw = random.Random(4)
-    texts = []
-    for _ in range(12):
-        t = [draw.choice("abcdef") for _ in range(draw.randint(3, 60))]
-        for _ in range(5):
-            texts.append(" ".join(t))
-            t = [*t, "z"] if draw.random() < 0.3 else [*t[:-1], draw.choice("abcdef")]
-    texts = sorted(set(texts))
-    rows = [(f"{i:03}", f"r{i % 7}", t) for i, t in enumerate(texts)]
-    got = {tuple(r) for r in simhash.prefix_pairs(spark.createDataFrame(rows, "key string, root string, text string"), 2, 0.8).collect()}
-    sets = shingle_sets(texts, 2)
-    expected = {(rows[i][0], rows[j][0]) for j in range(len(rows)) for i in range(j) if rows[i][1] != rows[j][1] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
-    assert expected and {p for p in expected if p not in got} == set()
-
-
-def test_prefix_pairs_dont_pair_a_template_all_with_all(spark):
+def test_rest_pairs_dont_pair_a_template_all_with_all(spark):
     """200 texts of 120 common and 80 own words each, as many components: no two are similar."""
     common = [f"c{i}" for i in range(120)]
-    rows = [(f"{i:03}", f"r{i}", " ".join(common + [f"w{i}_{j}" for j in range(80)])) for i in range(200)]
-    assert simhash.prefix_pairs(spark.createDataFrame(rows, "key string, root string, text string"), 5, 0.8).count() == 0
+    rows = [(i, " ".join(common + [f"w{i}_{j}" for j in range(80)])) for i in range(200)]
+    read = near_dedup.read(spark.createDataFrame(rows, "doc_id long, text string"), 5, 0.8).cache()
+    shared = near_dedup.shared_tokens(read.select("key", "n", "tokens"))
+    none = spark.createDataFrame([], "key binary, root binary")
+    assert near_dedup.rest_pairs(shared, none, 0.8).count() == 0 and near_dedup.star_pairs(shared, 0.8).count() == 0
 
 
 @pytest.mark.parametrize(("window", "batches"), [(8, None), (13, 6), (20, 2)])
-def test_substring_brute_force(spark, window, batches):
+def test_substring_brute_force(spark, monkeypatch, window, batches):
     draw = random.Random(window)
     rows = [(i, " ".join(draw.choice("ab") for _ in range(draw.randint(0, 60)))) for i in range(60)] + AWKWARD
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     parts = [docs.where(f"pmod(xxhash64(doc_id, text), {batches}) = {i}") for i in range(batches)] if batches else None
+    monkeypatch.setattr(substring, "FAN_IN", 2)
     got = sorted(map(tuple, substring.remove_repeats(docs, window, parts).collect()), key=str)
     count, expected = collections.Counter(), []
     for _, t in rows:
@@ -318,21 +419,103 @@ def test_toxicity_held_out(spark):
     assert {r.score for r in nothing} == {0.0}
 
 
+def models_of(spark, rows, docs=None):
+    """rows: text, toxic."""
+    df = spark.createDataFrame(rows, "text string, toxic int")
+    counts = near_dedup.shared_table(toxicity.class_counts(df), "test-counts")
+    return toxicity.kneser_ney(counts, df if docs is None else spark.createDataFrame(docs, "text string"))
+
+
+def test_toxicity_is_kneser_ney(spark):
+    """Against dictionaries: class counts of the labelled texts, backoff counts of all texts."""
+    draw = random.Random(5)
+    word = lambda: "".join(draw.choice("abcd") for _ in range(draw.randint(1, 11)))
+    texts = [" ".join(word() for _ in range(30)) for _ in range(40)]
+    rows = [(t, i % 2) for i, t in enumerate(texts[:20])]
+    models = models_of(spark, rows, [(t,) for t in texts])
+    D, S, K = toxicity.DISCOUNT, toxicity.SHARED, toxicity.CONTEXT
+
+    def steps(text):
+        for w in text.split():
+            t = "<" + w + ">"
+            for i in range(1, len(t)):
+                yield t[max(0, i - K) : i], t[i]
+
+    n = [collections.Counter(x for t, y in rows if y == c for x in steps(t)) for c in (0, 1)]
+    stood = [collections.Counter() for _ in n]
+    for c in (0, 1):
+        for (given, _), k in n[c].items():
+            stood[c][given] += k
+    known = set(n[0]) | set(n[1])
+    every = collections.Counter(x for t in texts for x in steps(t))
+    all_stood = collections.Counter()
+    for (given, _), k in every.items():
+        all_stood[given] += k
+    follows = collections.Counter((given[-2:], x) for given, x in known)
+    after = collections.Counter()
+    for (two, _), k in follows.items():
+        after[two] += k
+    kinds = collections.Counter(two for two, _ in follows)
+
+    def q(c, given, x):
+        lower = (follows[given[-2:], x] + 1) / (after[given[-2:]] + kinds[given[-2:]] + 1)
+        left = all_stood[given] - sum(max(every[g] - D, 0) for g in known if g[0] == given)
+        shared = (max(every[given, x] - D, 0) + left * lower) / all_stood[given]
+        own_left = stood[c][given] - sum(max(n[c][g] - D, 0) for g in known if g[0] == given)
+        return (max(n[c][given, x] - D, 0) + (own_left + S) * shared) / (stood[c][given] + S)
+
+    contexts = {g for g, _ in known}
+
+    def of_word(w):
+        out = 0.0
+        for given, x in steps(w):
+            if (given, x) in known:
+                out += np.log(q(1, given, x)) - np.log(q(0, given, x))
+            elif given in contexts:
+                u = [(stood[c][given] - sum(max(n[c][g] - D, 0) for g in known if g[0] == given) + S) / (stood[c][given] + S) for c in (0, 1)]
+                out += np.log(u[1]) - np.log(u[0])
+        return out
+
+    asked = [word() for _ in range(100)] + texts[0].split()
+    assert np.allclose(models.of_words(asked), [of_word(w) for w in asked], atol=1e-4)
+
+
+def test_toxicity_counts_grow_with_all_documents(spark):
+    """Backoff counts of unlabelled texts change what a rare expression tells."""
+    rows = [("plain words " + ("vile" if i < 3 else "kind"), int(i < 3)) for i in range(6)]
+    few, many = models_of(spark, rows), models_of(spark, rows, [(t,) for t, _ in rows] + [("vilify villa vilnius",)] * 50)
+    assert few.of_words(["vile"])[0] > 0 and abs(few.of_words(["vile"])[0] - many.of_words(["vile"])[0]) > 1e-3
+
+
 def test_toxicity_keeps_rare_beginnings(spark):
     """Two expressions, which seven texts of either class hold once each, tell the classes apart."""
     rows = [(" ".join(f"plain{c}" for c in "abcdefgh") + ([" kind", " vile"][i % 2] if i < 14 else ""), i % 2) for i in range(60)]
-    models = toxicity.kneser_ney(toxicity.beginning_counts(spark.createDataFrame(rows, "text string, toxic int")))
-    assert models.of_word("vile") > 1 > -1 > models.of_word("kind") and abs(models.of_word("plaina")) < 0.5
+    vile, kind, plain = models_of(spark, rows).of_words(["vile", "kind", "plaina"])
+    assert vile > 1 > -1 > kind and abs(plain) < 0.5
 
 
 def test_toxicity_reads_whole_words(spark):
     """Words that share seven characters, joined words, and clauses without spaces are told apart by what follows."""
     vile, fine = "consternvile _vilest_ 今日は天気悪党", "consternfine _finest_ 今日は天気良好"
-    rows = [(vile if i < 30 else fine, int(i < 30)) for i in range(60)]
-    models = toxicity.kneser_ney(toxicity.beginning_counts(spark.createDataFrame(rows, "text string, toxic int")))
+    models = models_of(spark, [(vile if i < 30 else fine, int(i < 30)) for i in range(60)])
     assert toxicity.words_of("a_b 今日は c1") == ["a", "b", "今日", "日は", "c1"]
     for a, b in (("consternvile", "consternfine"), ("x_vilest", "x_finest"), ("明日も天気悪党", "明日も天気良好")):
-        assert models.differences(a)[0] > 0 > models.differences(b)[0]
+        assert models.differences([a])[0, 0] > 0 > models.differences([b])[0, 0]
+
+
+def test_toxicity_awkward(spark, monkeypatch):
+    """Very long texts, repeated rows, clashing columns and caches that start afresh."""
+    rows = [(i, ("good plain text here " if i % 2 else "vile text here ") * 30) for i in range(80)]
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(80)], "doc_id long, toxic int")
+    docs = table(spark, [*rows, *AWKWARD, (500, "vile " * 60_000), (501, "vile text here " * 30), (501, "vile text here " * 30)])
+    first = sorted(map(tuple, toxicity.scored(docs, labels).collect()), key=str)
+    assert len(first) == 83 + len(AWKWARD) and {r[3] for r in first if r[0] in (500, 501)} == {1}
+    monkeypatch.setattr(toxicity, "MOST_WORDS", 2)
+    monkeypatch.setattr(toxicity, "SPELLED_AT_ONCE", 5)
+    assert sorted(map(tuple, toxicity.scored(docs, labels).collect()), key=str) == first
+    kept = toxicity.without_toxic(docs, labels)
+    assert kept.columns == docs.columns and kept.count() == sum(r[3] == 0 for r in first)
+    assert toxicity.scored(docs.limit(0), labels).count() == 0 and toxicity.without_toxic(docs.limit(0), labels.limit(0)).count() == 0
 
 
 def test_url_rules_and_templates(spark):
@@ -342,9 +525,51 @@ def test_url_rules_and_templates(spark):
         ("", "", None, "allow"), ("", "", None, "allow"), ("www.example.com", "/en/1", "www.example.com/en/", "allow"), ("a.example.com", "/en/1", "example.com/en/", "block"),
         ("x.net", "/es/2", "net/es/", "block"), ("x.com", "", None, "allow"), ("h", "", None, "allow"), ("x.net", "/es", None, "allow"),
     ]
-    pages = spark.createDataFrame([(i, f"http://h.org/{'spam' if i % 2 else 'fine'}/{i}.html") for i in range(200)], "page_id long, url string")
+    pages = table(spark, [(i, f"http://h.org/{'spam' if i % 2 else 'fine'}/{i}.html") for i in range(200)], "page_id long, url string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(0, 200, 3)], "page_id long, label int")
     assert {r.page_id % 2 for r in url_filter.judge(pages, [], labels).where("verdict = 'block'").collect()} == {1}
+    assert url_filter.judge(pages.limit(0)).count() == 0 and url_filter.judge(pages.unionByName(pages)).count() == 400
+
+
+def test_url_branches_are_merged(spark):
+    """Slugs without a label are judged by their like; a branch of another shape stands alone, at any depth."""
+    deep = "a/b/c/d/e/f"
+    urls = [f"http://h.org/{deep}/slug-{chr(97 + i)}/{k}.html" for i in range(20) for k in range(6)]
+    urls += [f"http://h.org/{deep}/help/page/{k}/about" for k in range(60)] + [f"http://h.org/{deep}/good/{k}/about/us" for k in range(60)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    labels = spark.createDataFrame([(i, 1) for i in range(60)] + [(i, 0) for i in range(180, 240)], "page_id long, label int")
+    blocked = {r.page_id for r in url_filter.judge(pages, [], labels).where("verdict = 'block'").collect()}
+    assert blocked == set(range(120))
+
+
+def test_registered_urls_without_a_rule_are_judged(spark):
+    out = catalog.queries()["op10_url_filter"](spark, SF.replace("0.001", "0.01"))
+    assert out.where("rule is null and verdict = 'block'").count() > 0 and out.where("rule is null and verdict = 'allow'").count() > 0
+
+
+@pytest.mark.parametrize("name", ["op1", "op2", "op4", "op6", "op7", "op8"])
+def test_empty_and_clashing(spark, name):
+    """No rows give no rows; repeated rows, nulls and clashing columns keep a row each."""
+    extra = [c for c in CLASHES if c not in ("source", "lang")]
+    F = __import__("pyspark").sql.functions
+    docs = table(spark, [*AWKWARD, (400, "long words " * 30_000)]).withColumns({"lang": F.lit("en"), "source": F.lit(None).cast("string")})
+    run = {
+        "op1": lambda d: token_counts.count_tokens(d, JSON),
+        "op2": lambda d: decontamination.contamination(d, spark.createDataFrame([(1, "a b c")], "item_id long, text string")),
+        "op4": quality.quality,
+        "op6": simhash.near_duplicates,
+        "op7": substring.remove_repeats,
+        "op8": lambda d: bpe.encode(d, RANKS, P.PATTERN),
+    }[name]
+    out = run(docs)
+    assert out.count() == len(AWKWARD) + 1 and run(docs.limit(0)).count() == 0 and len(set(out.columns)) == len(out.columns) and extra
+
+
+def test_stages_pass_clashing_columns(spark):
+    docs = table(spark, [*AWKWARD, (500, "alpha beta gamma delta"), (501, "other words of some document")])
+    items = spark.createDataFrame([(1, "alpha beta gamma delta")], "item_id long, text string")
+    out = decontamination.without_contaminated(docs, items)
+    assert out.columns == docs.columns and {r.doc_id for r in out.collect()} == {1, 2, 3, None, 7, 9, 501}
 
 
 def test_pipeline_stages(spark):
