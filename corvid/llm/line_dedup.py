@@ -42,6 +42,14 @@ def line_words(line: Column) -> Column:
     return F.when(line.rlike(r"[\x09-\x0D]|  |^ | $"), F.array_join(split_words(line), " ")).otherwise(line)
 
 
+def tidy(text: Column) -> Column:
+    """Whether every line of a text has its words joined by one space already, from a few quick looks at the whole."""
+    odd = F.startswith(text, F.lit(" ")) | F.endswith(text, F.lit(" "))
+    for part in ("  ", " \n", "\n ", "\t", "\x0b", "\x0c", "\r"):
+        odd = odd | F.contains(text, F.lit(part))
+    return ~odd
+
+
 def n_words(joined: Column) -> Column:
     """How many words a joined line that isn't empty has."""
     return F.octet_length(joined) - F.octet_length(F.replace(joined, F.lit(" "), F.lit(""))) + 1
@@ -100,8 +108,8 @@ def names(known: DataFrame) -> Names:
 
 def distinct_lines(docs: DataFrame, naming: Names, words_an_edit: int) -> DataFrame:
     """h, h2, first (the earliest place) of each distinct line with a word, and its half keys if it is long enough."""
-    placed = docs.select(naming.of_row().alias("name"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    joined = placed.select(naming.place(F.col("name"), F.col("pos")).alias("at"), line_words(F.col("line")).alias("s")).where("s != ''").withColumn("n", n_words(F.col("s")))
+    placed = docs.select(naming.of_row().alias("name"), tidy(F.col("text")).alias("tidy"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+    joined = placed.select(naming.place(F.col("name"), F.col("pos")).alias("at"), F.when(F.col("tidy"), F.col("line")).otherwise(line_words(F.col("line"))).alias("s")).where("s != ''").withColumn("n", n_words(F.col("s")))
     halves = []
     for base in (F.col("n"), F.col("n") - 1):  # the line as the shorter of a pair, and as the longer
         half = F.shiftright(base, 1)
