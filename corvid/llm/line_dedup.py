@@ -108,7 +108,9 @@ def names(known: DataFrame) -> Names:
 
 def distinct_lines(docs: DataFrame, naming: Names, words_an_edit: int) -> DataFrame:
     """h, h2, first (the earliest place) of each distinct line with a word, and its half keys if it is long enough."""
-    placed = docs.select(naming.of_row().alias("name"), tidy(F.col("text")).alias("tidy"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+    # what is worked out beside an explode() is worked out again for each of its rows
+    whole = docs.select(naming.of_row().alias("name"), tidy(F.col("text")).alias("tidy"), F.split("text", "\n", -1).alias("lines"))
+    placed = whole.select("name", "tidy", F.posexplode("lines").alias("pos", "line"))
     joined = placed.select(naming.place(F.col("name"), F.col("pos")).alias("at"), F.when(F.col("tidy"), F.col("line")).otherwise(line_words(F.col("line"))).alias("s")).where("s != ''").withColumn("n", n_words(F.col("s")))
     halves = []
     for base in (F.col("n"), F.col("n") - 1):  # the line as the shorter of a pair, and as the longer
@@ -132,8 +134,8 @@ def with_words(docs: DataFrame, naming: Names, chosen: DataFrame) -> DataFrame:
     first = F.col("first")
     of_doc = chosen.groupBy(naming.name(first).alias("name")).agg(F.collect_list(F.struct("h", "h2", "first")).alias("wanted"))
     of_doc = bounded_broadcast(shared_table(of_doc, "lines-wanted"), BROADCAST_ROWS)
-    lines = docs.select(naming.of_row().alias("name"), "text").join(of_doc, "name").select(F.split("text", "\n", -1).alias("lines"), F.explode("wanted").alias("w"))
-    read = lines.select("w.*", F.get("lines", naming.position(F.col("w.first"))).alias("line")).select("h", "h2", "first", line_words(F.col("line")).alias("s"))
+    lines = docs.select(naming.of_row().alias("name"), "text").join(of_doc, "name").select(F.split("text", "\n", -1).alias("lines"), "wanted")
+    read = lines.select("lines", F.explode("wanted").alias("w")).select("w.*", F.get("lines", naming.position(F.col("w.first"))).alias("line")).select("h", "h2", "first", line_words(F.col("line")).alias("s"))
     return read.dropDuplicates(["h", "h2"])  # repeated rows have one name
 
 
