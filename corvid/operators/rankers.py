@@ -12,11 +12,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from corvid.functions import distance
 from corvid.functions import text as T
 from corvid.operators import index as I
 
 K1, B, CANDIDATES, GRAM_TITLES = 1.2, 0.75, 200, 5000
 BROADCAST_TERMS = 100_000
+#: Terms of a batch of queries up to which a stored index is read by name.
+MOST_TERMS = 2_000
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -46,31 +49,106 @@ def bm25(e: DataFrame, queries: DataFrame, limit: int = CANDIDATES, mask: Column
     return top(scored, [F.desc("score"), F.asc("id")], limit)
 
 
+def bm25_stored(index: I.Stored, queries: DataFrame, limit: int = CANDIDATES, mask: DataFrame | None = None) -> DataFrame:
+    """The same from a stored index; mask: id of the entries that may be ranked."""
+    terms = queries.select("qid", F.explode(F.array_distinct(T.tokens(F.col("q")))).alias("term"))
+    few = [r[0] for r in terms.select("term").distinct().limit(MOST_TERMS + 1).collect()]
+    hits = index.postings(few if len(few) <= MOST_TERMS else None).join(query_terms(queries), "term")
+    idf = F.log((index.n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
+    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / index.average))
+    scored = hits.groupBy("qid", "id").agg(F.round(F.sum(weight), 6).alias("score"))
+    if mask is not None:
+        scored = scored.join(mask, "id", "left_semi")
+    return top(scored, [F.desc("score"), F.asc("id")], limit)
+
+
+def _wanted(queries: DataFrame, q: Column, name: str = "want") -> DataFrame:
+    """qid and one more column of a batch of queries, broadcast if they are few."""
+    out = queries.select("qid", q.alias(name)).where(F.col(name).isNotNull())
+    return F.broadcast(out) if out.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else out
+
+
+_NAME_ORDER = lambda: [T.dots(T.api_name(F.col("name"))).asc(), F.char_length(T.api_name(F.col("name"))).asc(), F.asc("id")]
+
+
 def by_name(names: DataFrame, queries: DataFrame, prefix: bool = False, limit: int = CANDIDATES) -> DataFrame:
-    """Entries with the query's key as a dotted suffix, or as the start of one; fewest dots, then shortest, first."""
+    """Entries with the query's key among theirs, or a key that starts with it (of three characters
+    or more, which are joined by equality); fewest dots, then shortest, first."""
     keys = I.name_keys(names)
-    wanted = F.broadcast(queries.select("qid", T.name_key(F.col("q")).alias("want")))
-    on = (F.startswith(F.col("key"), F.col("want")) & (F.char_length("want") >= 3) & (F.col("key") != F.col("want"))) if prefix else (F.col("key") == F.col("want"))
-    found = keys.join(wanted, on).select("qid", "id", "name").distinct()
-    if prefix:
-        found = found.join(keys.join(wanted, F.col("key") == F.col("want")).select("qid", "id"), ["qid", "id"], "left_anti")
-    return top(found, [T.dots(F.col("name")).asc(), F.char_length("name").asc(), F.asc("id")], limit)
+    wanted = _wanted(queries, T.name_key(F.col("q")))
+    if not prefix:
+        return top(keys.join(wanted, F.col("key") == F.col("want")).select("qid", "id", "name").distinct(), _NAME_ORDER(), limit)
+    start = lambda c: F.substring(c, 1, 3)
+    near = keys.withColumn("start", start("key")).join(wanted.where(F.char_length("want") >= 3).withColumn("start", start("want")), "start")
+    near = near.where(F.startswith(F.col("key"), F.col("want"))).groupBy("qid", "id", "name").agg(F.max(F.col("key") == F.col("want")).alias("exact"))
+    return top(near.where("not exact").drop("exact"), _NAME_ORDER(), limit)
 
 
-def by_grams(e: DataFrame, queries: DataFrame, limit: int = GRAM_TITLES) -> DataFrame:
+def by_grams(e: DataFrame, queries: DataFrame, limit: int = GRAM_TITLES, index: I.Stored | None = None) -> DataFrame:
     """Titles by the number of trigrams shared with the query."""
-    wanted = F.broadcast(queries.select("qid", F.explode(T.trigrams(T.processed(F.col("q")))).alias("gram")))
-    shared = I.title_grams(e).join(wanted, "gram").groupBy("qid", "id").agg(F.count("*").alias("shared"))
+    wanted = queries.select("qid", F.explode(T.trigrams(T.processed(F.col("q")))).alias("gram"))
+    few = [r[0] for r in wanted.select("gram").distinct().limit(MOST_TERMS + 1).collect()]
+    grams = I.title_grams(e) if index is None else index.grams(few if len(few) <= MOST_TERMS else None)
+    shared = grams.join(F.broadcast(wanted) if len(few) <= MOST_TERMS else wanted, "gram").groupBy("qid", "id").agg(F.count("*").alias("shared"))
     return top(shared, [F.desc("shared"), F.asc("id")], limit)
 
 
+def by_spelling(e: DataFrame, queries: DataFrame, limit: int = CANDIDATES, least: float = 45.0, index: I.Stored | None = None) -> DataFrame:
+    """Of the titles that share most trigrams with the query, those of a weighted ratio of 45 or more."""
+    near = by_grams(e, queries, GRAM_TITLES, index).select("qid", "id")
+    titled = near.join(e.select("id", T.processed(F.col("title")).alias("title")), "id").join(_wanted(queries, T.processed(F.col("q"))), "qid")
+    scored = titled.select("qid", "id", F.round(distance.wratio_score("title", "want"), 6).alias("score")).where(F.col("score") >= least)
+    return top(scored, [F.desc("score"), F.asc("id")], limit)
+
+
+def edits_of(length: Column) -> Column:
+    """How many letters of a name may be wrong: none of three, one of five, else two."""
+    return F.when(length < 4, 0).when(length < 6, 1).otherwise(2)
+
+
+def _of_like_length(keys: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Keys beside the wanted ones, joined on the lengths within the edits a wanted one may have."""
+    most = edits_of(F.char_length("want"))
+    dealt = wanted.withColumn("most", most).withColumn("size", F.explode(F.sequence(F.char_length("want") - most, F.char_length("want") + most)))
+    return keys.withColumn("size", F.char_length("key")).join(dealt, "size").drop("size")
+
+
 def by_edits(names: DataFrame, queries: DataFrame, limit: int = CANDIDATES) -> DataFrame:
     """Names within the edits their length allows: none under four characters, one under six, else two."""
-    wanted = F.broadcast(queries.select("qid", F.lower("q").alias("want")))
-    most = F.when(F.char_length("want") < 4, 0).when(F.char_length("want") < 6, 1).otherwise(2)
-    near = names.select("id", "name", F.lower("name").alias("key")).join(wanted, F.abs(F.char_length("key") - F.char_length("want")) <= most)
-    scored = near.withColumn("distance", F.levenshtein("key", "want", 2)).where((F.col("distance") >= 0) & (F.col("distance") <= most))
-    return top(scored, [F.asc("distance"), F.asc("key"), F.asc("id")], limit)
+    near = _of_like_length(names.select("id", "name", F.lower("name").alias("key")), _wanted(queries, F.lower("q")))
+    scored = near.withColumn("distance", F.levenshtein("key", "want", 2)).where((F.col("distance") >= 0) & (F.col("distance") <= F.col("most")))
+    return top(scored.drop("most"), [F.asc("distance"), F.asc("key"), F.asc("id")], limit)
+
+
+def by_typo(names: DataFrame, queries: DataFrame, limit: int = CANDIDATES) -> DataFrame:
+    """Names that a query misspells, where no name has its key: those with the nearest key first,
+    swapped neighbours being one edit, then by key, dots and length."""
+    keys = I.name_keys(names)
+    wanted = _wanted(queries, T.name_key(F.col("q")))
+    open_ = wanted.join(keys.select(F.col("key").alias("want")).distinct(), "want", "left_anti").where(edits_of(F.char_length("want")) > 0)
+    distinct = _of_like_length(keys.select("key").distinct(), open_)
+    near = distinct.withColumn("distance", distance.osa_distance("key", "want", F.col("most"))).where("distance <= most").select("qid", "key", "distance")
+    best = near.join(keys, "key").groupBy("qid", "id", "name").agg(F.min(F.struct("distance", "key")).alias("best"))
+    return top(best.select("qid", "id", "name", "best.distance", "best.key"), [F.asc("distance"), F.asc("key"), *_NAME_ORDER()], limit)
+
+
+def by_abbreviation(e: DataFrame, queries: DataFrame, limit: int = CANDIDATES, most: int = 5000) -> DataFrame:
+    """Titles that hold the query's letters in order, by how well; of over 5,000 the shortest. Ties go to the later entry."""
+    letters = _wanted(queries, F.regexp_replace(F.lower("q"), r"\s+", "")).where(F.char_length("want") >= 3)
+    held = e.select("id", "title", F.lower("title").alias("low")).crossJoin(F.broadcast(letters))
+    left = F.aggregate(F.split("want", ""), F.col("low"), lambda rest, c: F.when(F.contains(rest, c), F.substr(rest, F.instr(rest, c) + 1, F.char_length(rest))))
+    short = top(held.where(left.isNotNull()).select("qid", "id", "title", "want"), [F.char_length("title").asc(), F.asc("id")], most)
+    scored = short.select("qid", "id", F.round(distance.subsequence_score("want", "title"), 6).alias("score")).where("score > 0")
+    return top(scored, [F.desc("score"), F.desc("id")], limit)
+
+
+def by_symbols(e: DataFrame, queries: DataFrame, limit: int = CANDIDATES) -> DataFrame:
+    """Of queries of symbols alone: titles that show the run of symbols; in brackets first, pages before sections, shorter first."""
+    wanted = _wanted(queries.where(~F.col("q").rlike(r"(?U)\w")), F.regexp_replace("q", r"\s+", ""))
+    runs = e.select("id", "title", F.explode(F.array_distinct(F.regexp_extract_all("title", F.lit(r"(?U)([^\w\s()\[\]{},]+)"), 1))).alias("run"))
+    found = runs.join(wanted, F.col("run") == F.col("want"))
+    bracketed = F.contains(F.col("title"), F.concat(F.lit("("), F.col("want"), F.lit(")")))
+    return top(found.select("qid", "id", "title", "want"), [bracketed.desc(), F.contains(F.col("title"), F.lit(" › ")).asc(), F.char_length("title").asc(), F.asc("id")], limit).select("qid", "id", "rank")
 
 
 def dot(a: Column, b: Column) -> Column:

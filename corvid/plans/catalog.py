@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corvid.functions import distance
+from corvid.functions import distance, titles, versions
 from corvid.functions import text as T
-from corvid.operators import evaluate, graph, pages
+from corvid.operators import evaluate, graph, pages, search, speller
 from corvid.operators import index as I
 from corvid.operators import rankers as R
 from corvid.sources import html
@@ -22,9 +22,10 @@ _oracles: dict[str, str] = {}
 
 QUERY = "the thing that was for her only"
 _TOKENS = "regexp_extract_all(lower({}), '[a-z0-9]+')"
+_UNFENCED = "regexp_replace(text, '```\\w*', ' ', 'g')"
 _TITLE = "substr(split_part(text, chr(10), 1), 1, 80)"
 _ENTRY = f"e AS (SELECT doc_id AS id, {_TITLE} AS title, text, source, lang FROM documents)"
-_TOKS = f"tk AS (SELECT id, list_concat({_TOKENS.format('title')}, {_TOKENS.format('title')}, {_TOKENS.format('title')}, {_TOKENS.format('text')}) AS toks FROM e)"
+_TOKS = f"tk AS (SELECT id, list_concat({_TOKENS.format('title')}, {_TOKENS.format('title')}, {_TOKENS.format('title')}, {_TOKENS.format(_UNFENCED)}) AS toks FROM e)"
 _BM25 = f"""tf AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(toks) AS term FROM tk) GROUP BY id, term),
 st AS (SELECT count(*) AS n, avg(len(toks)) AS avgdl FROM tk), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
 qt AS (SELECT DISTINCT qid, term FROM (SELECT qid, unnest({_TOKENS.format('q')}) AS term FROM qs)),
@@ -59,6 +60,17 @@ def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.entries(table(spark, sf_dir, "documents"))
 
 
+_indexes: dict[tuple[str, str], I.Stored] = {}
+
+
+def stored_index(spark: SparkSession, sf_dir: str) -> I.Stored:
+    """The index of the documents, built once a session and anew when their files change."""
+    source, at = table(spark, sf_dir, "documents"), (spark.sparkContext.applicationId, sf_dir)
+    if at not in _indexes or not _indexes[at].fits(source):
+        _indexes[at] = I.build(I.entries(source), source)
+    return _indexes[at]
+
+
 def one_query(spark: SparkSession, q: str = QUERY) -> DataFrame:
     return spark.range(1).select(F.lit(0).alias("qid"), F.lit(q).alias("q"))
 
@@ -94,12 +106,12 @@ def vocabulary_df(spark, sf_dir):
 
 @query(f"WITH {_ENTRY}, {_TOKS}, {_ONE}, {_BM25} SELECT * FROM ({_RANK}) WHERE rank <= 200")
 def bm25_topk(spark, sf_dir):
-    return R.bm25(entries(spark, sf_dir), one_query(spark))
+    return R.bm25_stored(stored_index(spark, sf_dir), one_query(spark))
 
 
 @query(f"WITH {_ENTRY}, {_TOKS}, {_QUESTIONS}, {_BM25} SELECT * FROM ({_RANK}) WHERE rank <= 10")
 def bm25_batch(spark, sf_dir):
-    return R.bm25(entries(spark, sf_dir), questions(spark, sf_dir), 10)
+    return R.bm25_stored(stored_index(spark, sf_dir), questions(spark, sf_dir), 10)
 
 
 @query(f"WITH {_ENTRY}, {_TOKS}, {_ONE}, {_BM25}, m AS (SELECT sc.* FROM sc JOIN e USING (id) WHERE lang = 'en') SELECT * FROM ({_RANK.replace('FROM sc', 'FROM m')}) WHERE rank <= 200")
@@ -132,7 +144,7 @@ _PROCESSED = "trim(regexp_replace(lower({}), '[^\\p{{L}}\\p{{N}}]', ' ', 'g'))"
 
 @query(f"WITH {_ENTRY}, g AS (SELECT id, unnest({_GRAMS.format('p')}) AS gram FROM (SELECT id, {_PROCESSED.format('title')} AS p FROM e)), w AS (SELECT DISTINCT unnest({_GRAMS.format('p')}) AS gram FROM (SELECT {_PROCESSED.format(repr(QUERY))} AS p)), s AS (SELECT id, count(*) AS shared FROM g JOIN w USING (gram) GROUP BY id) SELECT * FROM (SELECT 0 AS qid, id, shared, row_number() OVER (ORDER BY shared DESC, id) AS rank FROM s) WHERE rank <= 5000")
 def title_trigram_overlap(spark, sf_dir):
-    return R.by_grams(entries(spark, sf_dir), one_query(spark))
+    return R.by_grams(entries(spark, sf_dir), one_query(spark), index=stored_index(spark, sf_dir))
 
 
 @query(f"WITH {_NAMES}, k AS (SELECT id, name, lower(name) AS p FROM n), s AS (SELECT id, name, array_to_string(string_split(p, '.')[i:], '.') AS key FROM (SELECT id, name, p, unnest(generate_series(1, len(string_split(p, '.')))) AS i FROM k)) SELECT id, name, key FROM s")
@@ -191,8 +203,8 @@ def cosine_batch_topk(spark, sf_dir):
 
 @query(f"WITH {_ENTRY}, {_TOKS}, {_ONE}, {_BM25}, r1 AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rank FROM sc), g AS (SELECT id, unnest({_GRAMS.format('p')}) AS gram FROM (SELECT id, {_PROCESSED.format('title')} AS p FROM e)), w AS (SELECT DISTINCT unnest({_GRAMS.format('p')}) AS gram FROM (SELECT {_PROCESSED.format(repr(QUERY))} AS p)), r2 AS (SELECT id, row_number() OVER (ORDER BY count(*) DESC, id) AS rank FROM g JOIN w USING (gram) GROUP BY id), u AS (SELECT 0 AS n, 1.0 AS w, id, rank FROM r1 WHERE rank <= 200 UNION ALL SELECT 1, 0.5, id, rank FROM r2 WHERE rank <= 200), f AS (SELECT id, round(sum(w / (60 + rank)), 9) AS score, min(n * 1000000 + rank) AS first FROM u GROUP BY id) SELECT * FROM (SELECT id, score, row_number() OVER (ORDER BY score DESC, first, id) AS rank FROM f) WHERE rank <= 100")
 def rrf_fuse(spark, sf_dir):
-    e, q = entries(spark, sf_dir), one_query(spark)
-    return R.fuse([("words", 1.0, R.bm25(e, q)), ("edit", 0.5, R.by_grams(e, q, 200))]).select("id", "score", "rank")
+    e, q, index = entries(spark, sf_dir), one_query(spark), stored_index(spark, sf_dir)
+    return R.fuse([("words", 1.0, R.bm25_stored(index, q)), ("edit", 0.5, R.by_grams(e, q, 200, index))]).select("id", "score", "rank")
 
 
 @query(f"WITH {_ENTRY} SELECT id FROM e WHERE regexp_matches(text, '(^|[^A-Za-z0-9_])[Oo][Ff]\\s+[Tt][Hh][Ee]($|[^A-Za-z0-9_])')")
@@ -233,7 +245,7 @@ def first_wins_dedupe(spark, sf_dir):
     return entries(spark, sf_dir).groupBy("title").agg(F.min("id").alias("id"), F.count("*").alias("n")).select("id", "title", "n")
 
 
-@query("SELECT doc_id, CAST(len(regexp_extract_all(text, '[A-Za-z]+')) AS BIGINT) AS words, trim(regexp_replace(regexp_replace(regexp_replace(text, '```[A-Za-z0-9]*', ' ', 'g'), '[`#]', ' ', 'g'), '\\s+', ' ', 'g')) AS plain FROM documents")
+@query("SELECT doc_id, CAST(len(regexp_extract_all(text, '[A-Za-z]+')) AS BIGINT) AS words, trim(regexp_replace(regexp_replace(regexp_replace(text, '```\\w*', ' ', 'g'), '[`#]', ' ', 'g'), '\\s+', ' ', 'g')) AS plain FROM documents")
 def plain_text(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.size(F.regexp_extract_all("text", F.lit("([A-Za-z]+)"), 1)).cast("long").alias("words"), T.plain(F.col("text")).alias("plain"))
 
@@ -265,9 +277,10 @@ def failure_summary(spark, sf_dir):
     return pages.failures(table(spark, sf_dir, "events").select(F.col("event_type").alias("kind"), F.col("ts").alias("at"), F.col("event_id").alias("what")))
 
 
-@query("WITH c AS (SELECT source, count(*) AS listed, count(*) FILTER (n_chars >= 40) AS read, count(*) FILTER (n_chars < 40) AS failed, count(*) AS old FROM documents GROUP BY source) SELECT *, failed <= 0.05 * read AND CASE WHEN listed >= 20 THEN read >= 0.9 * listed ELSE read >= 0.7 * old END AS replace FROM c")
+@query("WITH c AS (SELECT source, count(*) AS listed, count(*) FILTER (n_chars >= 300) AS read, count(*) FILTER (n_chars >= 300) AS pages, count(*) FILTER (n_chars < 300) AS failed, count(*) FILTER (lang = 'en') AS entries, count(*) FILTER (lang <> 'xx') AS old FROM documents GROUP BY source) SELECT *, NOT failed > 0.05 * (failed + pages) AND CASE WHEN listed >= 20 THEN read >= 0.9 * listed ELSE entries >= 0.7 * old END AS replace FROM c")
 def coverage_gate(spark, sf_dir):
-    c = table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("listed"), F.count_if(F.col("n_chars") >= 40).alias("read"), F.count_if(F.col("n_chars") < 40).alias("failed"), F.count("*").alias("old"))
+    long = F.col("n_chars") >= 300
+    c = table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("listed"), F.count_if(long).alias("read"), F.count_if(long).alias("pages"), F.count_if(~long).alias("failed"), F.count_if(F.col("lang") == "en").alias("entries"), F.count_if(F.col("lang") != "xx").alias("old"))
     return pages.coverage(c)
 
 
@@ -317,16 +330,28 @@ def sections_by_level(spark, sf_dir):
     return j.groupBy(F.col("r_name").alias("section"), F.col("n_name").alias("sub")).agg(F.count("*").alias("n")).where("n >= 2")
 
 
-@query("SELECT * FROM (VALUES ('3.13', '3.12.4', true), ('3.12', '3.12.4', false), ('2', '10', false), ('1.10', '1.9', true), ('', '1', false)) AS t(mark, than, newer)")
+_VERSIONS = "v AS (SELECT p_partkey AS id, (p_partkey % 4) || '.' || (p_size % 12) || CASE WHEN p_partkey % 3 = 0 THEN '.' || (p_size % 5) ELSE '' END AS a, (p_size % 4) || '.' || (p_partkey % 13) AS b FROM part)"
+_PART = "CAST(split_part({0}, '.', {1}) AS INT)"
+
+
+def part_versions(spark, sf_dir):
+    key, size = F.col("p_partkey"), F.col("p_size")
+    a = F.concat((key % 4).cast("string"), F.lit("."), (size % 12).cast("string"), F.when(key % 3 == 0, F.concat(F.lit("."), (size % 5).cast("string"))).otherwise(""))
+    return table(spark, sf_dir, "part").select(key.alias("id"), a.alias("a"), F.concat((size % 4).cast("string"), F.lit("."), (key % 13).cast("string")).alias("b"))
+
+
+@query(f"WITH {_VERSIONS} SELECT id, a, b, {_PART.format('a', 1)} > {_PART.format('b', 1)} OR ({_PART.format('a', 1)} = {_PART.format('b', 1)} AND {_PART.format('a', 2)} > {_PART.format('b', 2)}) AS newer FROM v")
 def version_compare(spark, sf_dir):
-    rows = spark.sql("SELECT * FROM (VALUES ('3.13', '3.12.4'), ('3.12', '3.12.4'), ('2', '10'), ('1.10', '1.9'), ('', '1')) AS t(mark, than)")
-    return rows.select("mark", "than", T.newer(F.col("mark"), F.col("than")).alias("newer"))
+    return part_versions(spark, sf_dir).select("id", "a", "b", versions.newer(F.col("a"), F.col("b")).alias("newer"))
 
 
-@query("SELECT * FROM (VALUES ('a', '3.12.4', '3.12'), ('a', '3', '3.12'), ('b', '1.0', '1.0')) AS t(package, want, have)")
+@query(f"WITH {_VERSIONS}, w AS (SELECT DISTINCT id % 7 AS package, a AS want FROM v), h AS (SELECT DISTINCT id % 7 AS package, b AS have FROM v), m AS (SELECT package, want, have FROM w JOIN h USING (package) WHERE want = have OR starts_with(want, have || '.') OR starts_with(have, want || '.')) SELECT package, want, max_by(have, length(have)) AS have FROM m GROUP BY package, want")
 def nearest_version(spark, sf_dir):
-    wanted = spark.sql("SELECT * FROM (VALUES ('a', '3.12.4'), ('a', '3'), ('b', '1.0'), ('b', '2')) AS t(package, version)")
-    have = spark.sql("SELECT * FROM (VALUES ('a', '3.12'), ('a', '3.1'), ('a', '4'), ('b', '1.0'), ('b', '1.0.1x')) AS t(package, version)").where("version <> '1.0.1x'")
+    v = part_versions(spark, sf_dir)
+    wanted = v.select((F.col("id") % 7).alias("package"), F.col("a").alias("version")).distinct()
+    # copies that are no release are never chosen
+    have = v.select((F.col("id") % 7).alias("package"), F.col("b").alias("version")).distinct()
+    have = have.unionByName(have.select("package", F.concat("version", F.lit("-beta")).alias("version")))
     return pages.nearest_version(wanted, have)
 
 
@@ -378,5 +403,80 @@ def osa_typo(spark, sf_dir):
 @query()
 def subsequence_rank(spark, sf_dir):
     n = names(spark, sf_dir)
-    scored = n.where(F.col("name").rlike("(?i)b.*r.*1.*s")).select("id", "name", distance.subsequence_score(F.lit("br1s"), F.col("name")).alias("score"))
-    return scored.where("score > 0").orderBy(F.desc("score"), F.desc("id")).limit(200)
+    return R.by_abbreviation(n.withColumnRenamed("name", "title"), one_query(spark, "br1s")).select("id", "score", "rank")
+
+
+@query()
+def typo_rank(spark, sf_dir):
+    """Names near a misspelt one: two neighbouring letters of the first name swapped."""
+    n = names(spark, sf_dir)
+    key = n.agg(F.min(F.lower("name")).alias("k"))
+    q = key.select(F.lit(0).alias("qid"), F.concat(F.substring("k", 1, 3), F.substring("k", 5, 1), F.substring("k", 4, 1), F.expr("substring(k, 6)")).alias("q"))
+    return R.by_typo(n, q).select("id", "name", "distance", "rank")
+
+
+@query()
+def title_similarity(spark, sf_dir):
+    return R.by_spelling(entries(spark, sf_dir), one_query(spark), index=stored_index(spark, sf_dir)).select("id", "score", "rank")
+
+
+def corpus(spark, sf_dir):
+    """Documents as pages, of a purpose by their language, and parts as API objects."""
+    purpose = F.when(F.col("lang") == "en", "lookup").when(F.col("lang") == "de", "do").when(F.col("lang") == "fr", "learn").otherwise("understand")
+    docs = entries(spark, sf_dir).select("id", "title", F.lit("page").alias("kind"), "text", "source", purpose.alias("purpose"))
+    parts = names(spark, sf_dir).select((F.col("id") + 10**12).alias("id"), F.concat("name", F.lit(" (function)")).alias("title"), F.lit("function").alias("kind"), F.lit("").alias("text"), F.lit("parts").alias("source"), F.lit("lookup").alias("purpose"))
+    return search.Corpus(docs.unionByName(parts))
+
+
+@query()
+def search_as_typed(spark, sf_dir):
+    return search.as_typed(corpus(spark, sf_dir), one_query(spark)).select("id", "score", "rank")
+
+
+@query()
+def strict_search(spark, sf_dir):
+    return search.strict_search(corpus(spark, sf_dir), 'the "of the"')
+
+
+@query()
+def speller_suggest(spark, sf_dir):
+    """The likeliest words for some common ones with their second and third letters swapped."""
+    df = I.document_frequency(stored_index(spark, sf_dir).postings().select("term", "id"))
+    common = df.where(F.col("term").rlike("^[a-z]{6,}$")).orderBy(F.desc("df"), "term").limit(10)
+    typed = common.select(F.concat(F.substring("term", 1, 1), F.substring("term", 3, 1), F.substring("term", 2, 1), F.expr("substring(term, 4)")).alias("q"), F.col("term").alias("qid"))
+    return speller.suggestions(speller.unknown_words(typed, df), speller.vocabulary(df))
+
+
+@query("SELECT item_id, CASE WHEN list_reduce(list_prepend(0, list_transform(string_split(sha1(text), ''), lambda c: CAST(strpos('0123456789abcdef', c) - 1 AS INT))), lambda a, d: (a * 16 + d) % 10) < 3 THEN 'dev' ELSE 'test' END AS split FROM benchmark")
+def question_split(spark, sf_dir):
+    return table(spark, sf_dir, "benchmark").select("item_id", T.split_of(F.col("text")).alias("split"))
+
+
+@query("SELECT page_id, regexp_replace(regexp_replace(url, '[?#].*$', ''), '@go[\\d.]+($|/)', '\\1') AS page, array_to_string(string_split(lower(regexp_extract(url, '://([^/?#:]*)', 1)), '.')[-2:], '.') AS organization FROM pages")
+def page_address(spark, sf_dir):
+    url = F.col("url")
+    return table(spark, sf_dir, "pages").select("page_id", T.page_url(url).alias("page"), T.organization(F.regexp_extract(url, "://([^/?#:]*)", 1)).alias("organization"))
+
+
+@query("WITH u AS (SELECT DISTINCT url, string_split(regexp_extract(url, '^[^:]*://([^?#]*)', 1), '/') AS p FROM pages), e AS (SELECT url, p, unnest(generate_series(2, len(p))) AS i FROM u), n AS (SELECT url, lower(p[i]) AS s, array_to_string(p[1:i-1], '/') AS b, array_to_string(p[i+1:], '/') AS a FROM e WHERE regexp_full_match(p[i], '(?i)(de|en|es|fr)') AND lower(p[i]) <> 'en'), g AS (SELECT b, a FROM n GROUP BY b, a HAVING count(DISTINCT s) > 1) SELECT DISTINCT url FROM n JOIN g USING (b, a)")
+def url_copies(spark, sf_dir):
+    return pages.copies_of_pages(table(spark, sf_dir, "pages").select("url"), ["en"])
+
+
+@query("WITH s AS (SELECT sha1(url) AS image, url FROM pages) SELECT * FROM s")
+def image_names(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select(T.image_name(F.col("url")).alias("image"), "url")
+
+
+@query(f"WITH {_ENTRY}, t AS (SELECT id, CASE id % 7 WHEN 0 THEN 'Release notes' WHEN 1 THEN 'A tutorial' WHEN 2 THEN 'Getting started with ' || title WHEN 3 THEN 'FAQ' WHEN 4 THEN 'Index' WHEN 5 THEN 'What is ' || id ELSE 'Zz ' || id END AS title, id % 7 AS k FROM e) SELECT id, CASE k WHEN 0 THEN 'removed' WHEN 1 THEN 'learn' WHEN 2 THEN 'learn' WHEN 3 THEN 'do' WHEN 4 THEN 'lookup' WHEN 5 THEN 'understand' END AS label FROM t")
+def title_labels(spark, sf_dir):
+    e, k = entries(spark, sf_dir), F.col("id") % 7
+    title = F.when(k == 0, "Release notes").when(k == 1, "A tutorial").when(k == 2, F.concat(F.lit("Getting started with "), "title")).when(k == 3, "FAQ").when(k == 4, "Index").when(k == 5, F.concat(F.lit("What is "), "id")).otherwise(F.concat(F.lit("Zz "), "id"))
+    return e.select("id", titles.label_of(title, F.array(F.lit("corvid"))).alias("label"))
+
+
+@query("WITH t AS (SELECT doc_id AS id, n_chars, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n, source FROM documents) SELECT source, count(*) AS expected FROM t GROUP BY source")
+def expected_pages(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(F.col("source").alias("site"), F.col("doc_id").alias("page"))
+    lists = d.withColumns({"list": F.lit("all"), "whole": F.lit(True)}).unionByName(d.where("page % 2 = 0").withColumns({"list": F.lit("half"), "whole": F.lit(True)})).unionByName(d.withColumn("page", F.col("page") + 10**9).unionByName(d).withColumns({"list": F.lit("links"), "whole": F.lit(False)}))
+    return pages.expected_pages(lists).select(F.col("site").alias("source"), "expected")
