@@ -16,6 +16,7 @@ are counted apart and combined by a parallel prefix scan.
 
 from __future__ import annotations
 
+import gc
 import json
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -36,6 +37,10 @@ CHUNK_CHARS = 1 << 12
 MOST_WHOLE, MOST_STATES, MOST_PAIRS = 400_000, 200_000, 500_000
 
 
+#: A state's numbers: the last token times SPAN, plus HERE and the tokens emitted since (over -HERE, as tokens are shorter).
+SPAN, HERE = 4096, 2048
+
+
 def byte_letters() -> dict[str, int]:
     """The letters that stand for bytes in byte-level vocabularies: printable ones for themselves, the others from 256 on."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -54,6 +59,7 @@ class Merges:
         self.rank = {(vocabulary[a], vocabulary[b]): (n, vocabulary[a + b]) for n, (a, b) in enumerate(pairs)}
         self._made = {whole: (n, *parts) for parts, (n, whole) in self.rank.items()}
         self._alone: dict[int, bool] = {}
+        self._edges: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
         self._side: dict[tuple[int, int], bool] = {}
 
     def encode(self, data: bytes) -> list[int]:
@@ -74,14 +80,16 @@ class Merges:
             found = self._alone[token] = whole == [token]
         return found
 
-    def _edge(self, token: int, side: int) -> list[tuple[int, int]]:
-        """What stands at one end of a token while it is put together: from which merge on, and what."""
-        out = []
-        while (made := self._made.get(token)) is not None:
-            out.append((made[0], token))
-            token = made[side]
-        out.append((-1, token))
-        return out[::-1]
+    def _edge(self, token: int, side: int) -> list[tuple[int, int, int]]:
+        """What stands at one end of a token while it is put together: from which merge to which, and what."""
+        if (out := self._edges.get((token, side))) is None:
+            out, until, part = [], len(self.rank), token
+            while (made := self._made.get(part)) is not None:
+                out.append((made[0], until, part))
+                until, part = made[0], made[side]
+            out.append((-1, until, part))
+            out = self._edges[token, side] = out[::-1]
+        return out
 
     def side_by_side(self, a: int, b: int) -> bool:
         """Whether the bytes of two tokens are encoded as these two; a < 0: whether those of b are as b alone.
@@ -97,21 +105,20 @@ class Merges:
             found = self._side[a, b] = self.alone(b) and not self._joined(self._edge(a, 2), self._edge(b, 1))
         return found
 
-    def _joined(self, left: list[tuple[int, int]], right: list[tuple[int, int]]) -> bool:
-        never = len(self.rank)
+    def _joined(self, left: list[tuple[int, int, int]], right: list[tuple[int, int, int]]) -> bool:
+        never, rank = (len(self.rank), -1), self.rank
         i = k = 0
         while True:
-            (since_x, x), (since_y, y) = left[i], right[k]
-            until_x = left[i + 1][0] if i + 1 < len(left) else never
-            until_y = right[k + 1][0] if k + 1 < len(right) else never
-            n = self.rank.get((x, y), (never, -1))[0]
+            since_x, until_x, x = left[i]
+            since_y, until_y, y = right[k]
+            n = rank.get((x, y), never)[0]
             # of merges of one rank the leftmost comes first
-            if max(since_x, since_y) <= n < until_x and n <= until_y and n < never:
+            if since_x <= n and since_y <= n < until_x and n <= until_y and n < never[0]:
                 return True
-            if until_x == until_y == never:
-                return False
             if until_x <= until_y:
                 i += 1
+                if i == len(left):
+                    return False
             else:
                 k += 1
 
@@ -177,28 +184,32 @@ class Transducer(dict):
     def _begin(self) -> None:
         # a state: the longest suffix that begins a token, and by the length of each suffix that
         # does, the last token before it and the tokens emitted up to there less those up to here
-        self.states = [(0, {0: (self.START, 0)})]
-        self.numbers = {(0, ((self.START, 0),)): 0}
+        # (never over the bytes of a token), as one number
+        self.states = [(0, {0: self.START * SPAN + HERE})]
+        self.numbers = {(0, self.START * SPAN + HERE): 0}
         self.moves: list[dict[int, tuple[int, int]]] = [{}]
 
     def move(self, state: int, byte: int) -> tuple[int, int]:
         """The next state and the tokens emitted on the way, worked out when first asked for."""
         at, before = self.states[state]
         to = self.suffixes.step(at, byte)
+        side = self.merges._side
         for length, token in self.suffixes.ends[to]:
-            last, n = before[length - 1]
-            if self.merges.side_by_side(last, token):
-                emitted = n + 1
+            open_ = before[length - 1]
+            last = open_ // SPAN
+            fits = side.get((last, token))
+            if self.merges.side_by_side(last, token) if fits is None else fits:
+                emitted = open_ % SPAN - HERE + 1
                 break
         else:
             raise ValueError("a byte that no token of the vocabulary stands for")
         lengths = self.suffixes.lengths(to)
-        open_ = [(last, n - emitted) for last, n in [before[x - 1] for x in lengths[:-1]]]
-        open_.append((token, 0))
-        key = (to, tuple(open_))
+        opens = [before[x - 1] - emitted for x in lengths[:-1]]
+        opens.append(token * SPAN + HERE)
+        key = (to, *opens)
         if (number := self.numbers.get(key)) is None:
             number = self.numbers[key] = len(self.states)
-            self.states.append((to, dict(zip(lengths, open_))))
+            self.states.append((to, dict(zip(lengths, opens))))
             self.moves.append({})
         found = self.moves[state][byte] = (number, emitted)
         return found
@@ -299,9 +310,13 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 1024, chunk: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         transducer = compiled(vocabulary)
-        for batch in batches:
-            n = [count_text(t.as_py() or "", transducer, chunk) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
+        gc.disable()  # states are many and hold no cycles: collections would only walk through them
+        try:
+            for batch in batches:
+                n = [count_text(t.as_py() or "", transducer, chunk) for t in batch.column(1)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
+        finally:
+            gc.enable()
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
