@@ -35,7 +35,7 @@ BATCHES = 4
 #: Words of eight bytes up to which the spans to remove are broadcast.
 BROADCAST_WORDS = 2_000_000
 #: Rows (of eight to forty bytes) up to which keys are broadcast, and rows of one key that are too many for a task.
-BROADCAST_ROWS, HOT_ROWS = 1_000_000, 20_000
+BROADCAST_ROWS, HOT_ROWS = 100_000, 20_000
 _SLICE_BYTES = 1 << 22
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
