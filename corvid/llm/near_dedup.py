@@ -5,7 +5,7 @@ Three steps find all links up to reachability, each verified on the sets themsel
 
 1. SimHash fingerprints within two bits of each other, through pivot distance tables (simhash.py);
 2. a prefix filter: in any common order of the shingles, two similar texts share one of their first
-   few. Uncommon shingles come first. Each text is compared with one text of each shared prefix
+   few. Those that are uncommon over all texts come first. Each text is compared with one text of each shared prefix
    shingle: that which holds it earliest, so the one least changed of a group of near copies;
 3. whatever is still in different components and shares a prefix shingle is compared, within the
    bounds on lengths and places that the similarity implies.
@@ -31,9 +31,9 @@ from corvid.llm.text import bounded_broadcast, free_names, give_back, small_batc
 from corvid.session import scratch, shared_table
 
 SHINGLE, SIMILARITY = 5, 0.8
-#: Share of the texts, and their least number, in which common shingles are looked for, and how many
-#: are listed at most. They only decide in which order prefixes are taken, so no pair hangs on them.
-ORDER_SHARE, ORDER_TEXTS, ORDER_LISTED = 1 / 16, 20_000, 300_000
+#: Shingles are counted by so many first bits of their hashes, and the counts passed on in pieces. Those
+#: of one bucket share a count; it only decides in which order prefixes are taken, so no pair hangs on it.
+BUCKET_BITS, PIECE = 22, 1 << 13
 #: Rows (of some 40 bytes) up to which keys are broadcast.
 BROADCAST_ROWS = 150_000
 #: Rows of a shingle that one task joins; shingles with more are dealt over several.
@@ -47,22 +47,38 @@ def row_name() -> list[Column]:
     return [F.xxhash64("doc_id", "text"), F.xxhash64(F.lit(1), "doc_id", "text")]
 
 
-def common_shingles(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of shingles that several of the looked-at texts hold, and in how many."""
+def bucket_of(hashes: np.ndarray) -> np.ndarray:
+    return hashes.view(np.uint64) >> np.uint64(64 - BUCKET_BITS)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def shingle_levels(docs: DataFrame, shingle: int) -> np.ndarray:
+    """How common shingles are, by bucket_of() their hashes: eight times the binary logarithm of one
+    more than the number of texts that hold one of the bucket, a text once for each; over all docs (text)."""
+    buckets = 1 << BUCKET_BITS
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(buckets, np.uint32)
         for batch in batches:
             for text in batch.column(0):
-                own = np.fromiter(set(shingle_hashes(text.as_py(), shingle)), np.uint64)
-                yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64))], ["token"])
+                np.add.at(n, bucket_of(np.fromiter(set(shingle_hashes(text.as_py(), shingle)), np.uint64)), 1)
+        pieces = n.astype(np.min_scalar_type(n.max())).reshape(-1, PIECE)
+        some = np.flatnonzero(pieces.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([pieces[i].tobytes() for i in some], pa.binary())], ["piece", "n"])
+        give_back()
+
+    def level(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for piece, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                sums[piece] = sums.get(piece, 0) + np.frombuffer(n, f"u{len(n) // PIECE}").astype(np.int64)
+        out = [np.minimum(8 * np.log2(1 + n), 255).astype(np.uint8).tobytes() for n in sums.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(out, pa.binary())], ["piece", "level"])
 
-    share = min(1.0, max(ORDER_SHARE, ORDER_TEXTS / max(1, docs.count())))
-    some = docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    found = some.mapInArrow(run, "token long").groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
-    top = found.orderBy(F.desc("n"), "token").limit(ORDER_LISTED).toArrow()
-    tokens = top.column("token").to_numpy()
-    order = np.argsort(tokens)
-    return tokens[order], top.column("n").to_numpy()[order]
+    counted = docs.select("text").mapInArrow(count, "piece int, n binary").repartition("piece")
+    levels = np.zeros((buckets // PIECE, PIECE), np.uint8)
+    for row in counted.mapInArrow(level, "piece int, level binary").toArrow().to_pylist():
+        levels[row["piece"]] = np.frombuffer(row["level"], np.uint8)
+    return levels.reshape(-1)
 
 
 def prefix_size(n: int, similarity: float) -> int:
@@ -73,14 +89,10 @@ def prefix_size(n: int, similarity: float) -> int:
 def read(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """r1, r2 (row_name()), doc_id, key (16 bytes of the normalised words), fp, n (shingles) and
     tokens (hashes of the prefix's shingles, in order) of every row of docs (doc_id, text)."""
-    listed, counts = common_shingles(docs, shingle)
-    known = docs.sparkSession.sparkContext.broadcast((np.append(listed, np.int64(2**63 - 1)), np.append(counts, 0)))
+    levels = docs.sparkSession.sparkContext.broadcast(shingle_levels(docs, shingle))
 
     def prefix(own: np.ndarray) -> np.ndarray:
-        of, n = known.value
-        at = np.searchsorted(of, own)
-        common = np.where(of[at] == own, n[at], 0)
-        return own[np.lexsort((own, common))][: prefix_size(len(own), similarity)]
+        return own[np.lexsort((own, levels.value[bucket_of(own)]))][: prefix_size(len(own), similarity)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

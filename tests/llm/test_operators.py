@@ -14,6 +14,7 @@ import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import numpy as np
@@ -381,6 +382,27 @@ def test_rest_pairs_dont_pair_a_template_all_with_all(spark):
     assert near_dedup.rest_pairs(shared, none, 0.8).count() == 0 and near_dedup.star_pairs(shared, 0.8).count() == 0
 
 
+def test_prefixes_follow_the_counts_of_all_texts(spark):
+    """24,000 texts of 20 own words each; two and two share six words, whose shingles no prefix needs."""
+    own = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(19)), lambda i: F.concat_ws("_", F.lit("w"), "doc_id", i)), " ")
+    pair = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(5)), lambda i: F.concat_ws("_", F.lit("p"), F.expr("doc_id div 2"), i)), " ")
+    docs = spark.range(24_000).withColumnRenamed("id", "doc_id").withColumn("text", F.concat_ws(" ", own, pair))
+    read = near_dedup.read(docs, 5, 0.8)
+    assert near_dedup.shared_tokens(read.select("key", "n", "tokens")).count() == 0
+
+
+def test_shingle_levels(spark):
+    """Levels are of the texts that hold a bucket's shingles, whatever the sizes of counts; null and empty texts have none."""
+    texts = [None, "", *["a b c d e a b c d e"] * 300, *[f"k{i} l m n o p q" for i in range(70)]]
+    levels = near_dedup.shingle_levels(spark.createDataFrame([(t,) for t in texts], "text string"), 5)
+    counts = np.zeros(1 << near_dedup.BUCKET_BITS, np.int64)
+    for t in texts:
+        for h in set(simhash.shingle_hashes(t, 5)):
+            counts[h >> (64 - near_dedup.BUCKET_BITS)] += 1
+    assert np.array_equal(levels, np.minimum(8 * np.log2(1 + counts), 255).astype(np.uint8)) and counts.max() == 300
+    assert not near_dedup.shingle_levels(spark.createDataFrame([], "text string"), 5).any()
+
+
 @pytest.mark.parametrize(("window", "batches"), [(8, None), (13, 6), (20, 2)])
 def test_substring_brute_force(spark, monkeypatch, window, batches):
     draw = random.Random(window)
